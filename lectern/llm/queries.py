@@ -1,6 +1,11 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
+from . import decontamination, line_dedup, quality_rules
+from .decontamination import op4_benchmark_decontamination
+from .line_dedup import op1_line_dedup
 from .ngram_join import op2_ngram_jaccard_join
+from .quality_rules import op6_quality_rules
+from .toxicity import op3_toxicity
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_toxicity, op4_benchmark_decontamination, op6_quality_rules)}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_benchmark_decontamination": decontamination.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
