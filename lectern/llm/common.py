@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; later stages survive lost executors.
-
-    The folder is the cluster's spark.checkpoint.dir; a private one is set only where none is.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineage: the cluster's spark.checkpoint.dir, or a private one where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder; later stages survive lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
