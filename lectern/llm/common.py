@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only if its measured row count is below this bound.
 BROADCAST_ROWS = 200_000
@@ -46,6 +47,16 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
 
 
+def widened(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of df with more columns."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()]])
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df without those of these names: a result column replaces an input column of its name."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_rows, own, table
+from .common import arrow_rows, others, own, table, widened
 from .kernels import U64, chunks, mix, powers
 
 SPACE = 0x2581
@@ -337,9 +336,8 @@ def sentencepiece(docs: DataFrame, model: bytes, text_col: str = "text", ids_col
             texts = pa.array([None if m else x for m, x in zip(missing, decoded)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=[*batch.schema.names, a, b])
 
-    schema = docs.schema.add(a, T.ArrayType(T.IntegerType())).add(b, "string")
-    out = docs.mapInArrow(run, schema)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids_col, decoded_col)], F.col(a).alias(ids_col), F.col(b).alias(decoded_col))
+    out = docs.mapInArrow(run, widened(docs, **{a: "array<int>", b: "string"}))
+    return out.select(*others(docs, ids_col, decoded_col), F.col(a).alias(ids_col), F.col(b).alias(decoded_col))
 
 
 def model_bytes() -> bytes:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, own, table
+from .common import arrow_rows, others, own, table, widened
 from .kernels import LOWER_VALUE, U64, chunks, mix, powers, span_hashes, spans
 
 BUCKETS = 1 << 20
@@ -194,14 +194,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             i = batch.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(i), *model.value), pa.float64())], names=[*batch.schema.names, score])
 
-    schema = docs.schema.add(score, "double")
-    out = docs.mapInArrow(run, schema)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], _held_out(id_col).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= THRESHOLD).cast("int").alias("predicted"))
+    out = docs.mapInArrow(run, widened(docs, **{score: "double"}))
+    return out.select(*others(docs, "held_out", "score", "predicted"), _held_out(id_col).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with their own columns."""
-    return toxicity(docs, labels).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if {"held_out", "score", "predicted"}.isdisjoint(docs.columns):
+        return toxicity(docs, labels).where("predicted = 0").select(*columns)
+    row = own("row")
+    marked = toxicity(docs.select(F.struct(*columns).alias(row), "doc_id", "text"), labels)
+    return marked.where("predicted = 0").select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op3_toxicity(spark, sf_dir):
