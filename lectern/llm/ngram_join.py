@@ -11,7 +11,10 @@ A document's set holds its distinct k-word shingles; two documents link when
     to the least group that size allows (a star, not all pairs).
 4.  Stars are expanded to nodes and verified on the whole sets; components follow.
 5.  Lists whose nodes lie in several components yet are paired across these
-    components and verified, so each pair that could join two components is tried.
+    components and verified: first within random blocks, which joins most of them at linear
+    cost, then all pairs that are left, so each pair that could join two components is tried. A
+    parity bitmap of each set bounds a pair's symmetric difference from below; pairs
+    whose bound is too high for the threshold can't link and are never made.
 
 Defined results: null or blank text has n = 0 and links with nothing; fewer than k words
 are one shingle; repeated rows each get a row; a null id is never a component's name
@@ -29,6 +32,7 @@ from .common import arrow_rows, components, cut, own, row_key, small_side
 from .kernels import chunks, mix, sequence_hash, shingle_sets
 
 CELLS = 1 << 22
+WORDS = 16  # of a parity bitmap: 1024 bits
 PIECE = 1 << 20  # postings of a packed piece's bucket, about
 
 
@@ -67,13 +71,21 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether the set holds an odd number of shingles of cell i. Differing bits of two sets are at most as many as their symmetric difference."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def prefix_length(n, percent: int):
     """Shingles of an n-set that are indexed: two linked sets share one of them."""
     return n - (percent * n + 99) // 100 + 1
 
 
+NO_BITS = np.zeros(WORDS, dtype="<i8")
+BITS = [f"bits{i}" for i in range(WORDS)]
 _POST = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4")])
-_NODE = np.dtype([("key", "<i8"), ("id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("node", "<i8"), ("group", "<i8")])
+_NODE = np.dtype([("key", "<i8"), ("id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("node", "<i8"), ("group", "<i8"), ("bits", "<i8", WORDS)])
 
 
 def _postings(k: int, percent: int, buckets: int, order):
@@ -102,19 +114,19 @@ def _postings(k: int, percent: int, buckets: int, order):
             keys, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, _, buf, offs in chunks(batch.column(0)):
                 for i, s in enumerate(shingle_sets(buf, offs, k), first):
-                    known, n, node, group = ids[i] is not None, len(s), 0, 0
+                    known, n, node, group, bits = ids[i] is not None, len(s), 0, 0, NO_BITS
                     if n:
                         p = prefix_length(n, percent)
                         rank = cells[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                        prefix = s[np.lexsort((s, rank))[:p]] if p < n else s
-                        node, group = sequence_hash(s), sequence_hash(prefix, n)
+                        prefix = s[np.lexsort((s, rank))[:p]]
+                        node, group, bits = sequence_hash(s), sequence_hash(prefix, n), parity(s)
                         if group not in seen:
                             seen.add(group)
                             rows = np.empty(p, dtype=_POST)
                             rows["token"], rows["group"], rows["n"] = prefix, group, n
                             posts.append(rows)
                             held += p
-                    nodes.append((keys[i], ids[i] if known else 0, known, n, node, group))
+                    nodes.append((keys[i], ids[i] if known else 0, known, n, node, group, bits))
             if held > 4 * PIECE:
                 yield flush(posts, nodes)
                 posts, nodes, held = [], [], 0
@@ -161,8 +173,10 @@ def _lists(percent: int):
                 rows = long[run_id]
                 z = np.zeros(int(rows.sum()), dtype=np.int64)
                 out.append([z + 3, sums[run_id][rows].astype(np.int64), p["group"][rows], z, z, z, z])
-        columns = [np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(7)]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("kind", "a", "b", "n", "node", "g", "known"), columns)})
+        columns = {c: pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i, c in enumerate(("kind", "a", "b", "n", "node", "g", "known"))}
+        rest = len(columns["kind"]) - len(nodes)
+        bits = {f"bits{i}": pa.array(np.concatenate((nodes["bits"][:, i], np.zeros(rest, dtype=np.int64)))) for i in range(WORDS)}
+        return pa.table(columns | bits)
 
     return run
 
@@ -197,12 +211,43 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The node pairs (a, b) whose sets link, by the sets themselves. nodes: (node, key); docs: (text, key)."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(wanted, "node"))
-    found = docs.join(small_side(wanted.select("key")), "key", "left_semi").select("text", "key")
-    sets = found.mapInArrow(_sets(k), "key long, set binary").groupBy("key").agg(F.first("set").alias("set")).join(wanted, "key")
-    sets = cut(sets.select("node", "set"))
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return cut(full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+    wanted = small_side(cut(nodes.join(wanted, "node")))
+    found = docs.join(wanted.select("key"), "key", "left_semi").select("text", "key")
+    sets = found.mapInArrow(_sets(k), "key long, set binary").join(wanted, "key").select("node", "set")
+    left = pairs.join(sets, pairs["a"] == sets["node"]).select("a", "b", F.col("set").alias("x"))
+    full = left.join(sets, left["b"] == sets["node"]).select("a", "b", "x", F.col("set").alias("y"))
+    # rows that repeat a document may bring its set twice
+    return cut(full.mapInArrow(_verify(percent), "a long, b long").distinct())
+
+
+def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """(list, node, n, c, bits...) of the lists whose nodes lie in several components, with each node's open lists and the list's size."""
+    label = named.withColumnRenamed("component", "c")
+    members = lists.join(nodes.select("g", "node", "n"), "g").join(label, "node", "left").select("list", "node", "n", F.coalesce("c", "node").alias("c"))
+    wide = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("list", "size")
+    members = members.join(wide, "list")
+    own_lists = members.groupBy("node").agg(F.collect_list("list").alias("lists"))
+    return cut(members.join(own_lists, "node").join(nodes.select("node", *BITS), "node"))
+
+
+def across(members: DataFrame, percent: int, block: int | None = None) -> DataFrame:
+    """Node pairs (a, b) of one list and two components that could link.
+
+    With `block`, a list is cut at random into blocks of about that many nodes and only pairs
+    within a block are made: linear in the lists, enough to join most components.
+    Without it, all pairs are made, each in the least list that both nodes share.
+    """
+    keys = ["list"]
+    if block:
+        members = members.withColumn("block", F.pmod(F.xxhash64("node", "list"), F.ceil(F.col("size") / block)))
+        keys.append("block")
+    x, y = (members.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", "lists", *BITS)]) for side in "ab")
+    apart = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
+    most = f"a_n + b_n - 2 * int(({percent} * (a_n + b_n) + {99 + percent}) / {100 + percent})"  # symmetric difference of two sets that link
+    can = f"a_node < b_node and a_c <> b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart} <= {most}"
+    if not block:
+        can += " and list = array_min(array_intersect(a_lists, b_lists))"
+    return x.join(y, keys).where(can).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -218,14 +263,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(8, int(size / 6 * (100 - percent) / 100 / PIECE) + 1)
     order = spark.sparkContext.broadcast(sketch(texts.select("text"), k))
     packed = texts.mapInArrow(_postings(k, percent, buckets, order), "bucket int, kind int, data binary")
-    rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long"))
+    rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long, " + ", ".join(f"{b} long" for b in BITS)))
 
-    every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g")
-    nodes = cut(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id")))
+    every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g", *BITS)
+    nodes = cut(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id"), *[F.first(b).alias(b) for b in BITS]))
     leaders = nodes.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("size"))
     stars = rows.where("kind = 2").select("a", "b").distinct()
     lead = leaders.select("g", "leader")
-    inner = nodes.join(leaders.where("size > 1"), "g")
+    inner = nodes.select("g", "node").join(leaders.where("size > 1"), "g")
     first = stars.join(lead.withColumnsRenamed({"g": "a", "leader": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "leader": "y"}), "b").select("x", "y").unionByName(inner.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")))
     pairs = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     key = nodes.select("node", "key")
@@ -237,16 +282,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = rows.where("kind = 3").select(F.col("a").alias("list"), F.col("b").alias("g")).unionByName(
         stars.join(wide.withColumnRenamed("g", "a"), "a").unionByName(stars.join(wide.withColumnRenamed("g", "b"), "b").select("a", "b")).distinct().select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("g"))
     ).unionByName(wide.select(F.col("g").alias("list"), "g"))
-    label = named.withColumnRenamed("component", "c")
-    members = lists.distinct().join(nodes.select("g", "node", "n"), "g").join(label, "node", "left").select("list", "node", "n", F.coalesce("c", "node").alias("c"))
-    open_lists = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("list")
-    members = cut(members.join(open_lists, "list"))
-    x, y = members.select("list", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), members.select("list", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = x.join(y, "list").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    more = cut(across.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, key, texts, k, percent))
-        named = components(links)
+    lists = cut(lists.distinct())
+    for block in (8, None):
+        members = open_members(lists, nodes, named)
+        more = cut(across(members, percent, block).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = cut(links.unionByName(verified(more, key, texts, k, percent)))
+            pairs = pairs.unionByName(more)
+            named = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     full = nodes.join(named, "node", "left").join(degree, "node", "left").select("node", "id", "links", F.coalesce("component", "node").alias("c"))
