@@ -194,12 +194,12 @@ def joined_sha256(*parts) -> Column:
     return F.sha2(F.concat_ws("\0", *[_col(p).cast("string") for p in parts]), 256)
 
 
-def template(text: str, **values) -> Column:
+def template(pattern: str, /, **values) -> Column:
     """SC19: a template's {names} as columns; unknown names stay as they stand, doubled braces are braces."""
     import re
 
     out = []
-    for piece in re.split(r"(\{\{|\}\}|\{[A-Za-z_][A-Za-z0-9_]*\})", text):
+    for piece in re.split(r"(\{\{|\}\}|\{[A-Za-z_][A-Za-z0-9_]*\})", pattern):
         if piece in ("{{", "}}"):
             out.append(F.lit(piece[0]))
         elif piece.startswith("{") and piece[1:-1] in values:
