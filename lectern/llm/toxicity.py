@@ -161,7 +161,7 @@ def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
         z = np.bincount(window, weights=word[number]) / np.bincount(window) + bias
         edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         out[a + owner[edge]] = np.maximum(np.maximum.reduceat(z, edge), bias)
-    return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
+    return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
 
 def _held_out(id_col):
