@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNCLEAR = re.compile(r"\[unclear\b", re.I)
 
@@ -29,7 +30,7 @@ def unclear_removed(text: str, keep_words: bool) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def replace_unclear(text: pd.Series, keep_words: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unclear_removed(t, bool(k)) for t, k in zip(text, keep_words)], dtype=object)
 
@@ -48,7 +49,7 @@ def mojibake_repaired(text: str) -> str:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
     return text.map(mojibake_repaired, na_action="ignore")
 
@@ -67,7 +68,7 @@ def whitespace_match(quote: str, source: str) -> str | None:
     return found if found != quote else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unique_source_match(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([None if q is None or s is None else whitespace_match(q, s) for q, s in zip(quote, source)], dtype=object)
 
@@ -80,6 +81,6 @@ def label_repaired(question: str, label: str, collapsed: str) -> str | None:
     return question.replace(collapsed, label, 1) if any(c.isspace() for c in rest.strip()) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_label(question: pd.Series, label: pd.Series, collapsed: pd.Series) -> pd.Series:
     return pd.Series([None if None in (q, l, c) else label_repaired(q, l, c) for q, l, c in zip(question, label, collapsed)], dtype=object)

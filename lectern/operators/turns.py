@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.spans import replace_unclear
 
-BY = Window.partitionBy("interview_id").orderBy("turn_index")
+def _by():
+    return Window.partitionBy("interview_id").orderBy("turn_index")
 
 
 def flagged(turns: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def exchanges(turns: DataFrame) -> DataFrame:
     """
     kept = flagged(turns).where(~F.col("is_filler_only"))
     asks = (F.col("role") == "interviewer") & ~F.col("is_unclear_only") & ~F.col("is_backchannel")
-    q = F.last(F.when(asks, F.struct("turn_index", "text")), True).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    q = F.last(F.when(asks, F.struct("turn_index", "text")), True).over(_by().rowsBetween(Window.unboundedPreceding, 0))
     answers = kept.withColumn("q", q).where((F.col("role") == "participant") & F.col("speaker_label").isin("Male", "Female") & F.col("target_eligible") & F.col("q").isNotNull())
     whole = Window.partitionBy("interview_id")
     ranked = answers.withColumns({"question_turn_index": F.col("q.turn_index"), "question": F.col("q.text")}).withColumn("ordinal", F.dense_rank().over(whole.orderBy("question_turn_index")))
@@ -46,16 +47,16 @@ def exchanges(turns: DataFrame) -> DataFrame:
 def neighbours(turns: DataFrame) -> DataFrame:
     """Participant turns with the turns before and after, of any role, as `role: text`."""
     line = F.concat(F.initcap("role"), F.lit(": "), "text")
-    out = turns.withColumns({"previous_context": F.coalesce(F.lag(line).over(BY), F.lit("")), "next_context": F.coalesce(F.lead(line).over(BY), F.lit(""))})
+    out = turns.withColumns({"previous_context": F.coalesce(F.lag(line).over(_by()), F.lit("")), "next_context": F.coalesce(F.lead(line).over(_by()), F.lit(""))})
     return out.where(F.col("role") == "participant")
 
 
 def window_context(turns: DataFrame, before: int, after: int) -> DataFrame:
     """For each participant turn, the turns from `before` positions earlier to `after` later, and how many are left out on either side."""
-    around = BY.rowsBetween(-before, after)
+    around = _by().rowsBetween(-before, after)
     line = F.concat(F.lit("Turn "), F.col("turn_index").cast("string"), F.lit(" | "), F.initcap("role"), F.lit(": "), "text")
     n = F.count("*").over(Window.partitionBy("interview_id"))
-    pos = F.row_number().over(BY)
+    pos = F.row_number().over(_by())
     out = turns.withColumns({"context": F.array_join(F.collect_list(line).over(around), "\n"), "omitted_before": F.greatest(pos - 1 - before, F.lit(0)), "omitted_after": F.greatest(n - pos - after, F.lit(0))})
     return out.where(F.col("role") == "participant")
 

@@ -7,6 +7,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+def _rows(number: str, *strings: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(number, T.IntegerType()), *[T.StructField(s, T.StringType()) for s in strings]]))
+
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -119,18 +124,18 @@ def characteristics(html: str) -> dict[str, str]:
     return out
 
 
-@F.pandas_udf("array<struct<paragraph_index:int,classes:string,text:string>>")
+@F.pandas_udf(_rows("paragraph_index", "classes", "text"))
 def paragraphs_udf(html: pd.Series) -> pd.Series:
     return html.map(lambda x: [{"paragraph_index": i, "classes": c, "text": t} for i, c, t in paragraphs(x)])
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def characteristics_udf(html: pd.Series) -> pd.Series:
     return html.map(characteristics)
 
 
 def sections_udf(heading: str):
-    @F.pandas_udf("array<struct<idx:int,label:string,text:string>>")
+    @F.pandas_udf(_rows("idx", "label", "text"))
     def run(html: pd.Series) -> pd.Series:
         return html.map(lambda x: [{"idx": i, "label": a, "text": t} for i, a, t in sections(x, heading)])
 

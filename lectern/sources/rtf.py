@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicon as L
 
@@ -55,7 +56,7 @@ def rtf_text(data: bytes) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rtf_text_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda b: rtf_text(bytes(b)))
 
@@ -107,6 +108,6 @@ def cover_sheet(text: str) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def cover_sheet_udf(text: pd.Series) -> pd.Series:
     return text.map(cover_sheet)
