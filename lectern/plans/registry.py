@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, spans
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import attempts, generation, lineage, pairs, ranking, selection, turns
+from ..operators import attempts, generation, lineage, pairs, ranking, records, selection, turns
 from ..sources import html
 from .tables import candidates, conversation_turns, read
 
@@ -657,3 +657,82 @@ def stacked_versions(spark, d):
 def dimension_membership(spark, d):
     n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     return read(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+# -- nested samples, aligned files, snapshots
+
+
+def _segments(spark, d):
+    """Orders as segments, their lines as samples: returned lines are invalid, filled ones valid."""
+    c = candidates(read(spark, d, "lineitem"))
+    sample = F.struct(F.col("label").alias("sample_index"), F.when(F.col("l_returnflag") == "N", "valid").otherwise("invalid").alias("final_parse_status"), F.col("l_linestatus").alias("raw_text"))
+    return c.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+
+
+@query(f"WITH {_CAND} SELECT l_orderkey AS record_id, label - 1 AS sample_list_index FROM c WHERE l_returnflag <> 'N'")
+def invalid_samples(spark, d):
+    return records.invalid_samples(_segments(spark, d)).select("record_id", F.col("sample_list_index").cast("long").alias("sample_list_index"))
+
+
+@query(f"WITH {_CAND} SELECT l_orderkey AS record_id, array_to_string(list(label ORDER BY label), ',') AS invalid_indexes FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'N') = 0")
+def failed_segments(spark, d):
+    return records.failed_segments(_segments(spark, d)).select("record_id", F.array_join("invalid_indexes", ",").alias("invalid_indexes"))
+
+
+@query(f"""WITH {_CAND} SELECT l_orderkey AS record_id, label AS sample_index, sha256('{{"raw":"' || l_linestatus || '","record_id":' || l_orderkey || ',"sample_index":' || label || '}}') AS fingerprint FROM c WHERE l_returnflag <> 'N'""")
+def failure_items(spark, d):
+    return records.failure_items(_segments(spark, d)).select("record_id", F.col("sample_index").cast("long").alias("sample_index"), "fingerprint")
+
+
+@query("SELECT coalesce(a.k, b.k) AS line, CASE WHEN a.k IS NULL THEN 'first' ELSE 'second' END AS missing_in FROM (SELECT doc_id AS k FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id AS k FROM documents WHERE doc_id % 13 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def positional_alignment(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("line"))
+    return records.aligned(docs.where("line % 11 <> 0"), docs.where("line % 13 <> 0"))
+
+
+@query(f"WITH {_LAST} SELECT user_id, status FROM c WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def frozen_snapshot(spark, d):
+    ids = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return records.frozen(_checkpoints(spark, d), ids, ["success"], "user_id")[0]
+
+
+@query(f"WITH {_NEG} SELECT l_orderkey, category, CASE WHEN h % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM (SELECT *, l_orderkey AS h FROM p)")
+def predefined_split(spark, d):
+    p = _negatives(spark, d).withColumn("line", F.col("l_orderkey"))
+    train, test = records.split_by_lines(p, p.where("l_orderkey % 3 = 0").select("line").distinct())
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))).select("l_orderkey", "category", "split")
+
+
+@query("SELECT list(doc_id ORDER BY doc_id)[1:10] AS first, count(*) - 10 AS more FROM documents WHERE lang = 'fr'")
+def id_preview(spark, d):
+    return records.preview(read(spark, d, "documents").where("lang = 'fr'"), "doc_id")
+
+
+@query("SELECT 'p/checkpoint-' || max(n_nationkey) AS path FROM nation")
+def latest_checkpoint(spark, d):
+    return records.latest_checkpoint(read(spark, d, "nation").select(F.concat(F.lit("p/checkpoint-"), F.col("n_nationkey").cast("string")).alias("path")))
+
+
+@query(f"""WITH {_RANK}, r1 AS (SELECT l_orderkey, label, pos FROM r WHERE agent = 1), r2 AS (SELECT l_orderkey, label, pos FROM r WHERE agent = 2)
+SELECT a.l_orderkey, min(CASE WHEN a.label <> b.label THEN a.pos END) AS first_mismatch FROM r1 a JOIN r2 b ON a.l_orderkey = b.l_orderkey AND a.pos = b.pos GROUP BY 1""")
+def first_mismatch(spark, d):
+    r = _rankings(spark, d).groupBy("l_orderkey").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("agent") == k, F.struct("pos", "label")))), lambda x: x["label"]).alias(f"r{k}") for k in (1, 2)])
+    return r.select("l_orderkey", records.first_mismatch(F.col("r1"), F.col("r2")).cast("long").alias("first_mismatch"))
+
+
+@query(f"WITH {_NEG} SELECT pair_id, 'target is rejected' AS errors FROM p WHERE l_orderkey % 97 = 0")
+def pair_audit_violations(spark, d):
+    p = _negatives(spark, d)
+    rows = p.select("pair_id", F.col("category").alias("target_category"), F.when(F.col("l_orderkey") % 97 == 0, F.col("category")).otherwise(F.col("rejected")).alias("rejected_source_category"), F.col("pair_id").alias("line_number"))
+    return records.audit_violations(rows).select("pair_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query("""SELECT doc_id, 'Research questions:' || chr(10) || '1. ' || lang || chr(10) || '2. ' || source || chr(10) || chr(10) || 'Interview context window:' || chr(10) || left(text, 30) || chr(10) || chr(10) || 'Target segment:' || chr(10) || left(text, 10) || chr(10) || chr(10) || 'Code label:' || chr(10) || lang AS prompt, 'Lang: ' || lang || chr(10) || 'Source: ' || source AS fields FROM documents""")
+def rendered_prompts(spark, d):
+    rows = read(spark, d, "documents").withColumns({"q": F.array("lang", "source"), "context": F.substr("text", F.lit(1), F.lit(30)), "target": F.substr("text", F.lit(1), F.lit(10))})
+    return rows.select("doc_id", records.prompt_sections("q", F.lit("Interview context window"), "context", "target", "lang").alias("prompt"), records.field_lines(["lang", "source"]).alias("fields"))
+
+
+@query("SELECT doc_id, source || '_' || lang || '_' || doc_id || '_1_' || left(sha256(text), 12) AS artefact FROM documents")
+def artefact_ids(spark, d):
+    return read(spark, d, "documents").withColumn("one", F.lit(1)).select("doc_id", records.artefact_id("source", "lang", "doc_id", "one", "text").alias("artefact"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """SC11: (file, line, raw) of the lines that aren't blank; lines count from 1 per file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "raw")).select("file", (F.col("pos") + 1).alias("line"), "raw").where(F.trim("raw") != "")
 
 
@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """SC17: every JSON file below the path, by path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 

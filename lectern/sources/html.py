@@ -144,7 +144,7 @@ def sections_udf(heading: str):
 
 def read_interviews(spark: SparkSession, path: str) -> DataFrame:
     """SC1: one row per *.html or *.htm file below the path: (interview_id, html, file)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return files.select(F.regexp_replace(name, r"\.html?$", "").alias("interview_id"), F.col("value").alias("html"), name.alias("file"))
 
