@@ -11,9 +11,9 @@ A document's set holds its distinct k-word shingles; two documents link when
     to the least group that size allows (a star, not all pairs).
 4.  Stars are expanded to nodes and verified on the whole sets; components follow.
 5.  Lists whose nodes lie in several components yet are paired across these
-    components and verified: first within random blocks, which joins most of them at linear
-    cost, then all pairs that are left, so each pair that could join two components is tried. A
-    parity bitmap of each set bounds a pair's symmetric difference from below; pairs
+    components and verified: first each node's nearest, in random blocks and then in whole
+    lists, which joins most components with few pairs, then all pairs that are left, so each
+    pair that could join two components is tried. A parity bitmap of each set bounds a pair's symmetric difference from below; pairs
     whose bound is too high for the threshold can't link and are never made.
 
 Defined results: null or blank text has n = 0 and links with nothing; fewer than k words
@@ -181,13 +181,24 @@ def _lists(percent: int):
     return run
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A set for shipping: 40 bits of each shingle, in order. Two shingles of a pair agree in these by chance once in 10^12."""
+    low = np.sort(s & np.uint64(2**40 - 1))
+    return (low & np.uint64(2**32 - 1)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(1).to_pylist()
             for first, _, buf, offs in chunks(batch.column(0)):
                 sets = list(shingle_sets(buf, offs, k))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[first : first + len(sets)], pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[first : first + len(sets)], pa.int64()), "set": pa.array([packed(s) for s in sets], pa.binary())})
 
     return run
 
@@ -198,7 +209,7 @@ def _verify(percent: int):
             a, b, x, y = (batch.column(i) for i in range(4))
             keep = []
             for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), dtype=np.uint64), np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
+                s, t = unpacked(x[i].as_buffer()), unpacked(y[i].as_buffer())
                 small, large = (s, t) if len(s) < len(t) else (t, s)
                 at = np.searchsorted(large, small)
                 both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -221,33 +232,34 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
 
 def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """(list, node, n, c, bits...) of the lists whose nodes lie in several components, with each node's open lists and the list's size."""
+    """(list, node, n, c, size, bits...) of the lists whose nodes lie in several components."""
     label = named.withColumnRenamed("component", "c")
     members = lists.join(nodes.select("g", "node", "n"), "g").join(label, "node", "left").select("list", "node", "n", F.coalesce("c", "node").alias("c"))
     wide = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("list", "size")
-    members = members.join(wide, "list")
-    own_lists = members.groupBy("node").agg(F.collect_list("list").alias("lists"))
-    return cut(members.join(own_lists, "node").join(nodes.select("node", *BITS), "node"))
+    return cut(members.join(wide, "list").join(nodes.select("node", *BITS), "node"))
 
 
-def across(members: DataFrame, percent: int, block: int | None = None) -> DataFrame:
+def across(members: DataFrame, percent: int, block: int | None = None, nearest: bool = False) -> DataFrame:
     """Node pairs (a, b) of one list and two components that could link.
 
     With `block`, a list is cut at random into blocks of about that many nodes and only pairs
-    within a block are made: linear in the lists, enough to join most components.
-    Without it, all pairs are made, each in the least list that both nodes share.
+    within a block are made: linear in the lists. Without it, all pairs are made. With
+    `nearest`, each node keeps the pair of least bound.
     """
     keys = ["list"]
     if block:
         members = members.withColumn("block", F.pmod(F.xxhash64("node", "list"), F.ceil(F.col("size") / block)))
         keys.append("block")
-    x, y = (members.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", "lists", *BITS)]) for side in "ab")
+    x, y = (members.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", *BITS)]) for side in "ab")
     apart = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
     most = f"a_n + b_n - 2 * int(({percent} * (a_n + b_n) + {99 + percent}) / {100 + percent})"  # symmetric difference of two sets that link
     can = f"a_node < b_node and a_c <> b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart} <= {most}"
-    if not block:
-        can += " and list = array_min(array_intersect(a_lists, b_lists))"
-    return x.join(y, keys).where(can).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    found = x.join(y, keys).where(can)
+    if not nearest:
+        return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    found = found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.expr(apart).alias("d"))
+    one = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")).unionByName(found.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -283,13 +295,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stars.join(wide.withColumnRenamed("g", "a"), "a").unionByName(stars.join(wide.withColumnRenamed("g", "b"), "b").select("a", "b")).distinct().select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("g"))
     ).unionByName(wide.select(F.col("g").alias("list"), "g"))
     lists = cut(lists.distinct())
-    for block in (8, None):
+    for block, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
-        more = cut(across(members, percent, block).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(links.unionByName(verified(more, key, texts, k, percent)))
-            pairs = pairs.unionByName(more)
-            named = components(links)
+        more = cut(across(members, percent, block, nearest).join(pairs, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        found = verified(more, key, texts, k, percent)
+        links, pairs = links.unionByName(found), pairs.unionByName(more)
+        # the new links join components: only these are followed
+        label = named.withColumnRenamed("component", "c")
+        ends = found.join(label.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
+        merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()).withColumnsRenamed({"node": "c", "component": "top"})
+        every_node = named.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
+        named = cut(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     full = nodes.join(named, "node", "left").join(degree, "node", "left").select("node", "id", "links", F.coalesce("component", "node").alias("c"))
