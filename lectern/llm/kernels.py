@@ -7,6 +7,9 @@ Null texts read as empty texts everywhere.
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,15 +35,16 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-_POW: dict[str, np.ndarray] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least n of them."""
-    if "up" not in _POW or len(_POW["up"]) < n:
+    """Powers of the hash base and of its inverse, at least n of them.
+
+    They are kept by process, outside this module: what a module holds travels with its functions.
+    """
+    kept = sys.modules.setdefault("_lectern_powers", ModuleType("_lectern_powers")).__dict__
+    if "up" not in kept or len(kept["up"]) < n:
         size = max(n, CHUNK + 1)
-        _POW["up"], _POW["down"] = _powers(_BASE, size), _powers(_BASE_INV, size)
-    return _POW["up"], _POW["down"]
+        kept["up"], kept["down"] = _powers(_BASE, size), _powers(_BASE_INV, size)
+    return kept["up"], kept["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ GRAMS = (3, 4, 5)
 WINDOW = 4
 #: Bounds of the training sample: rows of each class, bytes of a text.
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 20_000
+TRAIN_BYTES = 10_000
 THRESHOLD = 0.7
 
 NOT_WORD = np.ones(256, dtype=bool)
@@ -39,16 +39,16 @@ NOT_WORD[0x30:0x3A] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x80:
 
 
 def distinct_words(buf, offs):
-    """Row of each word, its number among the distinct words, and these words in one buffer with a separator around each."""
+    """Row of each word, its number among the distinct words, these words in one buffer with a separator around each, and their hashes."""
     starts, ends, row = spans(buf, offs, NOT_WORD)
-    _, first, number = np.unique(span_hashes(buf, starts, ends, LOWER_VALUE), return_index=True, return_inverse=True)
+    keys, first, number = np.unique(span_hashes(buf, starts, ends, LOWER_VALUE), return_index=True, return_inverse=True)
     starts, length = starts[first], (ends - starts)[first]
     begin = np.concatenate(([0], np.cumsum(length + 1)))
     out = np.full(begin[-1] + 1, 0x20, dtype=np.uint8)
     region = np.repeat(np.arange(len(length)), length)
     at = np.arange(len(region)) + region + 1
     out[at] = buf[at - begin[region] - 1 + starts[region]]
-    return row, number.ravel(), out, begin[:-1], length
+    return row, number.ravel(), out, begin[:-1], length, keys
 
 
 def subwords(words: np.ndarray, begin: np.ndarray, length: np.ndarray):
@@ -85,10 +85,24 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, s
     y = np.array(labels, dtype=np.float64)
     if not (0 < y.sum() < len(y)):
         return np.zeros(BUCKETS, dtype=np.float32), -np.inf
-    buf_texts = pa.array(texts)
-    (part,) = chunks(buf_texts, 1 << 62)
-    row, number, words, begin, length = distinct_words(part[2], part[3])
-    which, bucket = subwords(words, begin, length)
+    # words of all chunks, each once: a later chunk's words that an earlier one had take its number
+    rows, numbers, which, bucket, hashes, n = [], [], [], [], np.zeros(0, dtype=np.uint64), 0
+    for a, _, buf, offs in chunks(pa.array(texts)):
+        row, number, words, begin, length, keys = distinct_words(buf, offs)
+        w, b = subwords(words, begin, length)
+        known = np.isin(keys, hashes)
+        at = np.where(known, 0, n + np.cumsum(~known) - 1)
+        order = np.argsort(hashes)
+        at[known] = order[np.searchsorted(hashes[order], keys[known])]
+        rows.append(row + a)
+        numbers.append(at[number])
+        new = ~known[w]
+        which.append(at[w[new]])
+        bucket.append(b[new])
+        hashes = np.concatenate((hashes, keys[~known]))
+        n = len(hashes)
+    row, number, which, bucket = map(np.concatenate, (rows, numbers, which, bucket))
+    length = hashes  # one entry per distinct word
     by = np.argsort(which, kind="stable")
     which, bucket = which[by], bucket[by]
     used, bucket = np.unique(bucket, return_inverse=True)
@@ -111,7 +125,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, s
     axis = soft[:, 1] - soft[:, 0]
     emb = rng.normal(size=(len(used), dim)) * 0.01 + np.outer(np.maximum(odds, -1), axis / (axis @ axis)) * 2
     g_emb, g_soft, g_bias = np.full(len(used), 1e-8), np.full(soft.shape, 1e-8), np.full(2, 1e-8)
-    weight = np.where(y == 1, 0.7 / y.sum(), 0.3 / (len(y) - y.sum()))
+    weight = np.where(y == 1, 0.8 / y.sum(), 0.2 / (len(y) - y.sum()))
     docs_with = owner[edge]
 
     def logits():
@@ -152,7 +166,7 @@ def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     """Toxicity of each text of the column."""
     out = np.full(len(column), bias)
     for a, b, buf, offs in chunks(column, 1 << 22):
-        row, number, words, begin, length = distinct_words(buf, offs)
+        row, number, words, begin, length, _ = distinct_words(buf, offs)
         if not len(row):
             continue
         which, bucket = subwords(words, begin, length)
