@@ -61,6 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame, per: int = 50_000) -> DataFrame:
+    """The rows, written like `cut`, in as few partitions as their number asks for.
+
+    Tables that are small beside the input would else keep a task, and a shuffle file, for each shuffle partition.
+    """
+    out = cut(df)
+    return out.coalesce(out.count() // per + 1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 
@@ -68,17 +77,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     to the checkpoint folder, and no group is collected: both stars are a minimum by key and a join.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, before = state(e), None
+    while now != before:
+        parts = now[0] // 50_000 + 1
+        e = e.coalesce(parts)
         # large star: every neighbour above u is linked to the least neighbour of u (or u)
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct().coalesce(parts)
         # small star: u and its lower neighbours are linked to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before = now
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct()
+        e = cut(small.coalesce(parts))
+        before, now = now, state(e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct().coalesce(now[0] // 50_000 + 1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut, own, row_key, small_side
+from .common import arrow_rows, components, cut, own, row_key, settled, small_side
 from .kernels import chunks, mix, sequence_hash, shingle_sets
 
 CELLS = 1 << 22
@@ -222,13 +222,13 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The node pairs (a, b) whose sets link, by the sets themselves. nodes: (node, key); docs: (text, key)."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = small_side(cut(nodes.join(wanted, "node")))
+    wanted = small_side(settled(nodes.join(wanted, "node")))
     found = docs.join(wanted.select("key"), "key", "left_semi").select("text", "key")
     sets = found.mapInArrow(_sets(k), "key long, set binary").join(wanted, "key").select("node", "set")
     left = pairs.join(sets, pairs["a"] == sets["node"]).select("a", "b", F.col("set").alias("x"))
     full = left.join(sets, left["b"] == sets["node"]).select("a", "b", "x", F.col("set").alias("y"))
     # rows that repeat a document may bring its set twice
-    return cut(full.mapInArrow(_verify(percent), "a long, b long").distinct())
+    return settled(full.mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
 def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFr
     label = named.withColumnRenamed("component", "c")
     members = lists.join(nodes.select("g", "node", "n"), "g").join(label, "node", "left").select("list", "node", "n", F.coalesce("c", "node").alias("c"))
     wide = members.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("list", "size")
-    return cut(members.join(wide, "list").join(nodes.select("node", *BITS), "node"))
+    return settled(members.join(wide, "list").join(nodes.select("node", *BITS), "node"))
 
 
 def across(members: DataFrame, percent: int, block: int | None = None, nearest: bool = False) -> DataFrame:
@@ -278,13 +278,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long, " + ", ".join(f"{b} long" for b in BITS)))
 
     every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g", *BITS)
-    nodes = cut(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id"), *[F.first(b).alias(b) for b in BITS]))
+    nodes = settled(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id"), *[F.first(b).alias(b) for b in BITS]))
     leaders = nodes.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("size"))
     stars = rows.where("kind = 2").select("a", "b").distinct()
     lead = leaders.select("g", "leader")
     inner = nodes.select("g", "node").join(leaders.where("size > 1"), "g")
     first = stars.join(lead.withColumnsRenamed({"g": "a", "leader": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "leader": "y"}), "b").select("x", "y").unionByName(inner.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")))
-    pairs = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = settled(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     key = nodes.select("node", "key")
     links = verified(pairs, key, texts, k, percent)
     named = components(links)
@@ -294,10 +294,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = rows.where("kind = 3").select(F.col("a").alias("list"), F.col("b").alias("g")).unionByName(
         stars.join(wide.withColumnRenamed("g", "a"), "a").unionByName(stars.join(wide.withColumnRenamed("g", "b"), "b").select("a", "b")).distinct().select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("g"))
     ).unionByName(wide.select(F.col("g").alias("list"), "g"))
-    lists = cut(lists.distinct())
+    lists = settled(lists.distinct())
     for block, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
-        more = cut(across(members, percent, block, nearest).join(pairs, ["a", "b"], "left_anti"))
+        more = settled(across(members, percent, block, nearest).join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         found = verified(more, key, texts, k, percent)
@@ -307,12 +307,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = found.join(label.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()).withColumnsRenamed({"node": "c", "component": "top"})
         every_node = named.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
-        named = cut(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
+        named = settled(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     full = nodes.join(named, "node", "left").join(degree, "node", "left").select("node", "id", "links", F.coalesce("component", "node").alias("c"))
     least = full.groupBy("c").agg(F.min("id").alias("component_id"))
-    by_node = cut(full.join(least, "c").select("node", F.coalesce("links", F.lit(0)).alias("links"), "component_id"))
+    by_node = settled(full.join(least, "c").select("node", F.coalesce("links", F.lit(0)).alias("links"), "component_id"))
     linked = every.where("n > 0").join(small_side(by_node), "node").select("id", "n", "node", "links", "component_id")
     alone = every.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "links", "component_id")
