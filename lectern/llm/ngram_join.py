@@ -319,7 +319,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component: that of the least id; of rows that repeat it, one. Null ids stay."""
+    """The documents, one of each component: that of the least id. Rows that share this id all stay, and so do rows without an id."""
     found = ngram_jaccard_join(docs, id_col, text_col)
     me = own("drop")
     drop = found.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias(me)).distinct()
