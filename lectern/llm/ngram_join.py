@@ -15,6 +15,8 @@ A document's set holds its distinct k-word shingles; two documents link when
     lists, which joins most components with few pairs, then all pairs that are left, so each
     pair that could join two components is tried. A parity bitmap of each set bounds a pair's symmetric difference from below; pairs
     whose bound is too high for the threshold can't link and are never made.
+6.  Links hold within components only. In a component of three nodes or more all pairs are
+    compared by their whole sets, in blocks, and each node's links are counted there.
 
 Defined results: null or blank text has n = 0 and links with nothing; fewer than k words
 are one shingle; repeated rows each get a row; a null id is never a component's name
@@ -34,6 +36,7 @@ from .kernels import chunks, mix, sequence_hash, shingle_sets
 CELLS = 1 << 22
 WORDS = 16  # of a parity bitmap: 1024 bits
 PIECE = 1 << 20  # postings of a packed piece's bucket, about
+BLOCK = 512  # nodes of a component that are compared at once with as many others
 
 
 def _sketch(k: int):
@@ -262,11 +265,88 @@ def across(members: DataFrame, percent: int, block: int | None = None, nearest:
     return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def common(xs: list[np.ndarray], ys: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of xs with all of ys."""
+    sides = [(np.repeat(np.arange(len(z)), [len(s) for s in z]), np.concatenate(z)) for z in (xs, ys)]
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    at = []
+    for owner, token in sides:
+        place = np.minimum(np.searchsorted(shared, token), max(len(shared) - 1, 0))
+        there = shared[place] == token if len(shared) else np.zeros(len(token), dtype=bool)
+        owner, place = owner[there], place[there]
+        order = np.argsort(place, kind="stable")
+        at.append((owner[order], place[order]))
+    both = np.zeros((len(xs), len(ys)), dtype=np.int64)
+    for base in range(0, len(shared), columns):
+        part = []
+        for (owner, place), z in zip(at, (xs, ys)):
+            a, b = np.searchsorted(place, (base, base + columns))
+            m = np.zeros((len(z), min(columns, len(shared) - base)), dtype=np.float32)
+            m[owner[a:b], place[a:b] - base] = 1
+            part.append(m)
+        both += (part[0] @ part[1].T).astype(np.int64)
+    return both
+
+
+def _degrees(percent: int):
+    """Rows (c, lo, hi, block, node, set) to (node, links): the links of the nodes of block lo to those of block hi, and back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c, lo, hi, block, node = (t.column(x).to_numpy() for x in ("c", "lo", "hi", "block", "node"))
+        sets, names, links = t.column("set"), [], []
+        order = np.lexsort((node, hi, lo, c))
+        turns = np.flatnonzero((np.diff(c[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)) + 1
+        for rows in np.split(order, turns):
+            # rows that repeat a document may bring its set twice
+            rows = rows[np.unique(node[rows], return_index=True)[1]]
+            x = rows[block[rows] == lo[rows]]
+            y = rows[block[rows] == hi[rows]]
+            if not len(x) or not len(y):
+                continue
+            xs = [unpacked(sets[int(i)].as_buffer()) for i in x]
+            same = lo[rows[0]] == hi[rows[0]]
+            ys = xs if same else [unpacked(sets[int(i)].as_buffer()) for i in y]
+            both = common(xs, ys)
+            linked = 100 * both >= percent * (np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None, :] - both)
+            if same:
+                np.fill_diagonal(linked, False)
+            else:
+                names.append(node[y])
+                links.append(linked.sum(0))
+            names.append(node[x])
+            links.append(linked.sum(1))
+        join = lambda z: pa.array(np.concatenate(z).astype(np.int64) if z else np.zeros(0, dtype=np.int64))
+        return pa.table({"node": join(names), "links": join(links)})
+
+    return run
+
+
+def degrees(named: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, links) of the nodes of components of several nodes: all links, each pair compared by the sets once.
+
+    named: (node, component); nodes: (node, key); docs: (text, key). Components of more than
+    `block` nodes are cut into blocks, and each two blocks meet in a task of their own.
+    """
+    size = named.groupBy("component").agg(F.count("*").alias("size"))
+    members = settled(named.join(size, "component").join(nodes, "node").select("node", "key", F.col("component").alias("c"), F.ceil(F.col("size") / block).alias("blocks"), "size"))
+    pairs = members.where("size = 2").select("node", F.lit(1).cast("long").alias("links"))
+    many = members.where("size > 2").drop("size")
+    bins = many.count() // 2000 + 1
+    many = small_side(many)
+    found = docs.join(many.select("key"), "key", "left_semi").select("text", "key")
+    sets = found.mapInArrow(_sets(k), "key long, set binary").join(many, "key")
+    rows = sets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "c", "set", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("node", "c", "set", "blocks", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("c"), F.lit(bins))).otherwise(F.xxhash64("c", "lo", "hi")))
+    counted = rows.groupBy("bin").applyInArrow(_degrees(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return pairs.unionByName(counted)
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, count_links: bool = True, block: int = BLOCK) -> DataFrame:
     """One row per input row: (id, n_shingles, node, links, component_id).
 
-    node names the class of equal sets (null without words), links counts the verified
-    links found between the node and other nodes, component_id is the least id reachable.
+    node names the class of equal sets (null without words), links counts the other nodes
+    that the node links with (null if not asked for), component_id is the least id reachable.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -286,8 +366,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = stars.join(lead.withColumnsRenamed({"g": "a", "leader": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "leader": "y"}), "b").select("x", "y").unionByName(inner.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")))
     pairs = settled(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     key = nodes.select("node", "key")
-    links = verified(pairs, key, texts, k, percent)
-    named = components(links)
+    named = components(verified(pairs, key, texts, k, percent))
 
     # lists that still hold several components: pairs across them, not tried before
     wide = inner.select("g").distinct()
@@ -295,13 +374,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stars.join(wide.withColumnRenamed("g", "a"), "a").unionByName(stars.join(wide.withColumnRenamed("g", "b"), "b").select("a", "b")).distinct().select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("g"))
     ).unionByName(wide.select(F.col("g").alias("list"), "g"))
     lists = settled(lists.distinct())
-    for block, nearest in ((16, True), (None, True), (None, False)):
+    for some, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
-        more = settled(across(members, percent, block, nearest).join(pairs, ["a", "b"], "left_anti"))
+        more = settled(across(members, percent, some, nearest).join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         found = verified(more, key, texts, k, percent)
-        links, pairs = links.unionByName(found), pairs.unionByName(more)
+        pairs = pairs.unionByName(more)
         # the new links join components: only these are followed
         label = named.withColumnRenamed("component", "c")
         ends = found.join(label.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
@@ -309,18 +388,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         every_node = named.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
         named = settled(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    full = nodes.join(named, "node", "left").join(degree, "node", "left").select("node", "id", "links", F.coalesce("component", "node").alias("c"))
+    full = nodes.join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
+    if count_links:
+        full = full.join(degrees(named, key, texts, k, percent, block), "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    else:
+        full = full.withColumn("links", F.lit(None).cast("long"))
     least = full.groupBy("c").agg(F.min("id").alias("component_id"))
-    by_node = settled(full.join(least, "c").select("node", F.coalesce("links", F.lit(0)).alias("links"), "component_id"))
+    by_node = settled(full.join(least, "c").select("node", "links", "component_id"))
     linked = every.where("n > 0").join(small_side(by_node), "node").select("id", "n", "node", "links", "component_id")
-    alone = every.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id"))
+    alone = every.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("node"), F.lit(0 if count_links else None).cast("long").alias("links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", "links", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each component: that of the least id. Rows that share this id all stay, and so do rows without an id."""
-    found = ngram_jaccard_join(docs, id_col, text_col)
+    found = ngram_jaccard_join(docs, id_col, text_col, count_links=False)
     me = own("drop")
     drop = found.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias(me)).distinct()
     return docs.join(drop, docs[id_col].cast("long") == drop[me], "left_anti")
