@@ -27,6 +27,10 @@ def dry_run():
 
 def generate(prompts: DataFrame, factory=dry_run, prompt: str = "prompt", seed: str = "seed") -> DataFrame:
     """Prompts with raw_text."""
+    # whole texts are long: batches of few rows fit in memory
+    batch_rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", prompts.sparkSession.conf
+    if int(conf.get(batch_rows)) > 500:
+        conf.set(batch_rows, "500")
 
     def run(batches):
         backend = None

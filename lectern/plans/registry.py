@@ -379,13 +379,13 @@ def strict_json(spark, d):
 
 @query()
 def dry_run_samples(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", T.template("Summarise: {x}", x=F.substr("text", F.lit(1), F.lit(200))).alias("prompt"))
+    rows = read(spark, d, "documents").select("doc_id", T.template("Summarise: {x}", x="text").alias("prompt"))
     return generation.single_pass(rows).select("doc_id", "status", "payload")
 
 
 @query()
 def self_refine_rounds(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.substr("text", F.lit(1), F.lit(100)).alias("prompt"))
+    rows = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     return generation.self_refine(rows, 2, seed=41).groupBy("rounds").agg(F.count("*").alias("n"))
 
 
