@@ -73,7 +73,7 @@ def is_claim(clear) -> Column:
 def is_cutoff(clear_text) -> Column:
     """PF7: the last clear words break off."""
     x = F.regexp_replace(_col(clear_text), r"\s+$", "")
-    last = F.element_at(tokens(x), -1)
+    last = F.try_element_at(tokens(x), F.lit(-1))
     some = F.size(tokens(x)) > 0
     return some & F.coalesce(last.isin(*L.HARD_CUTOFF) | x.rlike(r"(?:—|–|--)$") | (x.rlike(r"(?:,|:|;|\.\.\.|…)$") & last.isin(*L.CONTINUATION)), F.lit(False))
 
@@ -82,7 +82,7 @@ def review_reasons(text, question, clear_text, n_clear, n_total, n_question, n_t
     """PF9: the review reasons of a retained target, in fixed order."""
     t, q, x, n = _col(text), _col(question), F.regexp_replace(_col(clear_text), r"\s+$", ""), _col(n_clear)
     words = tokens(x)
-    last = F.element_at(words, -1)
+    last = F.try_element_at(words, F.lit(-1))
     ratio = n / F.greatest(F.lit(1), _col(n_total))
     unclear_end = t.rlike(r"(?is)\[unclear(?::[^\]]*)?\]\s*[.!?]*\s*$")
     unfinished = (F.size(words) > 0) & ~x.endswith("?") & (last.isin(*L.HARD_CUTOFF) | x.rlike(r"(?:—|–|--)$") | ((unclear_end | x.rlike(r"(?:,|:|;|\.\.\.|…)$")) & last.isin(*L.CONTINUATION)))

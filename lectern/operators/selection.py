@@ -10,11 +10,11 @@ from ..functions import text as T
 from .turns import exchanges, with_evidence
 
 
-def audit(turns: DataFrame, bracketed: bool = True) -> DataFrame:
+def audit(turns: DataFrame) -> DataFrame:
     """PF8: one row per exchange: decision, primary reason, all reasons in fixed order, texts, counts, turn lists."""
-    rows = with_evidence(exchanges(turns), bracketed)
+    rows = with_evidence(exchanges(turns))
     rows = rows.withColumn("weak", T.weak_reason("clear_tokens")).withColumn("claim", T.is_claim("clear_tokens")).withColumn("cutoff", T.is_cutoff("clear_text"))
-    q = with_evidence(rows.select("interview_id", "question_turn_index", F.col("question").alias("text")).distinct(), bracketed).select("interview_id", "question_turn_index", F.col("clear_tokens").alias("question_tokens"))
+    q = with_evidence(rows.select("interview_id", "question_turn_index", F.col("question").alias("text")).distinct()).select("interview_id", "question_turn_index", F.col("clear_tokens").alias("question_tokens"))
     good = F.col("weak").isNull()
     item = F.struct("turn_index", F.concat("speaker_label", F.lit(": "), "text").alias("line"), "clear_tokens", "total_tokens", "weak", "claim", "cutoff", "speaker_label")
     one = rows.groupBy("interview_id", "segment_id", "record_id", "question", "question_turn_index", "ordinal").agg(

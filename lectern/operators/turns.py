@@ -20,10 +20,10 @@ def flagged(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"is_filler_only": T.is_filler("text"), "is_unclear_only": T.is_unclear("text"), "is_backchannel": T.is_backchannel("text")})
 
 
-def with_evidence(turns: DataFrame, bracketed: bool = True) -> DataFrame:
-    """TX5: total and clear tokens of each turn. bracketed=False skips the nested-bracket function where no text has brackets."""
+def with_evidence(turns: DataFrame) -> DataFrame:
+    """TX5: total and clear tokens of each turn."""
     bare = T.without_stage_directions("text")
-    clear, total = (replace_unclear(bare, F.lit(False)), replace_unclear(bare, F.lit(True))) if bracketed else (bare, bare)
+    clear, total = replace_unclear(bare, F.lit(False)), replace_unclear(bare, F.lit(True))
     return turns.withColumn("clear_text", clear).withColumns({"clear_tokens": T.tokens("clear_text"), "total_tokens": T.tokens(total)})
 
 

@@ -104,8 +104,7 @@ def _turns(spark, d):
 
 
 def _audit(spark, d):
-    # conversations hold no brackets: the nested-bracket function is the identity and is left out
-    return selection.audit(_turns(spark, d), bracketed=False)
+    return selection.audit(_turns(spark, d))
 
 
 # -- conversations
@@ -162,7 +161,7 @@ def backchannel_flags(spark, d):
 
 @query(f"WITH {_TURNS}, {_FLAGS} SELECT interview_id, turn_index, {_WEAK} AS weak, {_CLAIM} AS claim, {_CUT} AS cutoff FROM (SELECT *, {_bare('text')} AS x FROM marked)")
 def turn_evidence(spark, d):
-    return turns.with_evidence(_turns(spark, d), False).select("interview_id", "turn_index", T.weak_reason("clear_tokens").alias("weak"), T.is_claim("clear_tokens").alias("claim"), T.is_cutoff("clear_text").alias("cutoff"))
+    return turns.with_evidence(_turns(spark, d)).select("interview_id", "turn_index", T.weak_reason("clear_tokens").alias("weak"), T.is_claim("clear_tokens").alias("claim"), T.is_cutoff("clear_text").alias("cutoff"))
 
 
 @query("""SELECT interview_id, turn_index, turn_before FROM (SELECT conv_id AS interview_id, (turn * 7) % 5 AS turn_index, turn, lag((turn * 7) % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_before FROM conversations) WHERE turn_index <= turn_before""")
@@ -201,7 +200,7 @@ def exchange_span(spark, d):
   CASE WHEN n_clear <= 12 AND NOT regexp_matches(selected_text, '\\p{Nd}') AND len(list_filter(st, lambda t: list_contains(""" + _array(L.EVALUATION) + f""", t))) > 0 THEN 'bare_evaluation' END], lambda x: x IS NOT NULL) AS suggested_reasons
 FROM (SELECT *, {_tok(_bare('selected_text'))} AS st FROM audit WHERE primary_reason IS NULL)""")
 def review_reasons(spark, d):
-    rows = _audit(spark, d).where("decision = 'retained'").withColumns({"clear_text": T.without_stage_directions("selected_text"), "nq": F.size(T.tokens(T.without_stage_directions("question")))})
+    rows = _audit(spark, d).where("decision = 'retained'").withColumns({c: spans.replace_unclear(T.without_stage_directions(x), F.lit(False)) for c, x in (("clear_text", "selected_text"), ("clear_question", "question"))}).withColumn("nq", F.size(T.tokens("clear_question")))
     reasons = T.review_reasons("selected_text", "question", "clear_text", "clear_word_count", "total_word_count", "nq", F.size("target_turns"))
     return rows.select("interview_id", "segment_id", reasons.alias("suggested_reasons"))
 
