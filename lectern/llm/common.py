@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side is broadcast only if its measured row count is below this bound.
+#: A side is broadcast only if its measured rows and bytes are below these bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's spark.checkpoint.dir, or a private one where none is set."""
+    """The shared folder for cut lineage: the cluster's spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lectern-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -26,9 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is. df should be written already (`cut`)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about: 8 for each fixed column, the others as text."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    size = F.lit(8 * len(df.columns)).cast("long")
+    return size + F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))) if wide else size
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and `size` bytes, else as it is. df should be written already (`cut`)."""
+    n, total = df.agg(F.count("*"), F.sum(_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -43,10 +58,21 @@ def own(name: str) -> str:
 
 
 def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
-    """A key that rows with equal id and text share; null-safe."""
+    """A 64-bit key that rows with equal id and text share; null-safe."""
     return F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
 
 
+def wide_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """A 128-bit key that rows with equal id and text share; null-safe."""
+    return F.struct(row_key(df, id_col, text_col).alias("a"), F.xxhash64(F.lit("b"), F.col(text_col), F.col(id_col).cast("string")).alias("b"))
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def widened(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of df with more columns."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()]])

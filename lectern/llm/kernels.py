@@ -21,6 +21,10 @@ LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 CHUNK = 1 << 20
+BLOCK = 64  # bytes that one row of values each covers
+TABLE = _rng.integers(0, 2**64, (BLOCK, 256), dtype=np.uint64)
+LOWER_TABLE = TABLE.copy()
+LOWER_TABLE[:, 65:91] = TABLE[:, 97:123]
 
 #: Words are runs of bytes outside these sets.
 SPACES = np.zeros(256, dtype=bool)
@@ -98,13 +102,59 @@ def spans(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(finishes) + 1, np.searchsorted(offs, starts, side="right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """64-bit hashes of byte spans, by their content alone."""
-    up, down = powers(len(buf) + 1)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    """64-bit hashes of byte spans, by their content alone.
+
+    Each byte has a random value of its own at each of 64 places (tabulation); blocks of 64 bytes are mixed with
+    their number before they are added, so no pattern of the text makes two spans equal but by chance (2^-64).
+    """
+    size = ends - starts
+    blocks = (size + (BLOCK - 1)) // BLOCK
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(blocks.sum()) - np.repeat(first, blocks)
+    begin = np.repeat(starts, blocks) + number * BLOCK
+    length = np.minimum(BLOCK, np.repeat(ends, blocks) - begin)
+    values, sums = table.ravel(), np.empty(len(begin), dtype=np.uint64)
+    for a in range(0, len(begin), 1 << 15):
+        n = length[a : a + (1 << 15)]
+        at = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(at, n)
+        byte = buf[place + np.repeat(begin[a : a + (1 << 15)], n)]
+        sums[a : a + (1 << 15)] = np.add.reduceat(values[place << 8 | byte], at)
+    out, some = np.zeros(len(starts), dtype=np.uint64), size > 0
     with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(values[buf] * up[: len(buf)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        if len(sums):
+            out[some] = np.add.reduceat(mix(sums + mix(number.astype(np.uint64) + U64(1))), first[some])
+        return mix(out + size.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+
+
+def _same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span equals the span that `other` names, byte by byte."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    rows = np.flatnonzero(other != np.arange(len(other)))
+    total, a = np.cumsum(size[rows]), 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK, side="right")))
+        r = rows[a:b]
+        n = size[r]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (buf[place + np.repeat(starts[r], n)] != buf[place + np.repeat(starts[other[r]], n)]).any():
+            return False
+        a = b
+    return True
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct span, and for each span its number among these; spans are compared by their bytes."""
+    _, first, number = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    number = number.ravel()
+    if not _same_bytes(buf, starts, ends, first[number]):
+        raw, known = buf.tobytes(), {}
+        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.int64)
+        first = np.unique(number, return_index=True)[1]
+    return first, number
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -122,7 +172,7 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = 5):
     """For each row its sorted distinct k-word shingles; rows with fewer words have their whole sequence, without words none."""
     starts, ends, row = spans(buf, offs, SPACES)
-    words = span_hashes(buf, starts, ends, LOWER_VALUE)
+    words = span_hashes(buf, starts, ends, LOWER_TABLE)
     first = np.searchsorted(row, np.arange(len(offs)))
     full = windows(words, k)
     for i in range(len(offs) - 1):

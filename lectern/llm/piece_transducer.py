@@ -14,7 +14,7 @@ it may follow and infinity after any other. One path of weight 0 is left, and it
 last piece at each position, so the shortest path is a single forward pass.
 
 No arc spans two characters that stand side by side in no piece. Inputs are cut there,
-and equal segments of a task share one composition.
+and equal segments of a task, by their characters, share one composition.
 
 Defined results: null and empty texts have no tokens and decode to the empty text (null
 stays null); a U+2581 in a text decodes to a space, as in the library.
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, others, own, table, widened
-from .kernels import U64, chunks, mix, powers
+from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
 MEMORY = 1 << 19  # segments that a task remembers
 SLOTS = 1 << 20  # of the neighbour table
+LONG = 200  # characters of a segment above which its path is found alone
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -148,8 +149,8 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.keys, self.place, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.store, self.stored = [], 0
+        self.known: dict[bytes, int] = {}  # segment -> its row in place and size
+        self.place, self.size, self.store = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     # -- the acceptor of neighbours
     def _judge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,7 +214,7 @@ class Encoder:
         weight = np.full((n + 1, m), np.inf)
         weight[0] = 0
         for end in range(1, n + 1):
-            for w in range(1, min(t.longest, end) + 1):
+            for w in range(min(t.longest, end), 0, -1):  # of equal weights the earliest start, as in the library
                 if (end - w, w) not in spelled:
                     continue
                 rows, piece = spelled[end - w, w]
@@ -233,6 +234,67 @@ class Encoder:
         by = np.lexsort((step, rows))
         return states[by], np.bincount(rows, minlength=m)
 
+    def _follows(self, a: int, b: int) -> bool:
+        """The verdict of `_judge` on one pair."""
+        t, m, limit = self.t, len(self.t.ids), 1 << 62
+        left, right, rank = self.tables()
+        while True:
+            if rank.get(a * m + b, limit) < limit:
+                return False
+            can_a, can_b = right[a] != a, left[b] != b
+            if can_a and (a > b or not can_b):
+                a, limit = right[a], a
+            elif can_b:
+                b, limit = left[b], b + 1
+            else:
+                return True
+
+    def tables(self):
+        """The merges as Python objects, for long segments."""
+        if not hasattr(self, "_tables"):
+            t = self.t
+            self._tables = t.left.tolist(), t.right.tolist(), dict(zip(t.pair_keys.tolist(), t.pair_rank.tolist())) if t.bpe else {}
+            self._edges, self._final = dict(zip(t.edge_keys.tolist(), t.edge_to.tolist())), t.final.tolist()
+            self._verdicts: dict[int, bool] = {}
+        return self._tables
+
+    def _long_path(self, x: list[int]) -> np.ndarray:
+        """The states of the shortest path of one long segment; time and memory follow its length."""
+        self.tables()
+        t, n, m = self.t, len(x), len(self.t.ids)
+        edges, final, verdicts, width, cost = self._edges, self._final, self._verdicts, t.width, t.cost.tolist()
+        last, came, weight = [-1] * (n + 1), [0] * (n + 1), [np.inf] * (n + 1)
+        weight[0] = 0.0
+        for i in range(n):
+            if weight[i] == np.inf:
+                continue
+            node, before = 0, last[i]
+            for j in range(i, n):
+                node = edges.get(node * width + x[j], -1)
+                if node < 0:
+                    break
+                piece = final[node]
+                if piece < 0:
+                    continue
+                total = weight[i] + (0.0 if t.bpe else cost[piece])
+                if total >= weight[j + 1]:
+                    continue
+                if t.bpe and i:
+                    key = before * m + piece
+                    ok = verdicts.get(key)
+                    if ok is None:
+                        if len(verdicts) > SLOTS:
+                            verdicts.clear()
+                        ok = verdicts[key] = self._follows(before, piece)
+                    if not ok:
+                        continue
+                last[j + 1], came[j + 1], weight[j + 1] = piece, i, total
+        out, i = [], n
+        while i:
+            out.append(last[i])
+            i = came[i]
+        return np.array(out[::-1], dtype=np.int64)
+
     def _solve(self, cid: np.ndarray, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Ids of each segment, one after the other, and their counts."""
         t = self.t
@@ -243,6 +305,10 @@ class Encoder:
             ids = t.bytes_id[np.frombuffer("".join(map(chr, cps[starts[i] : ends[i]])).encode("utf-8"), dtype=np.uint8)] if t.fallback else np.array([t.unk], dtype=np.int32)
             found[i], counts[i] = ids, len(ids)
         known = np.flatnonzero(~unknown)
+        for i in known[length[known] > LONG]:
+            found[i] = t.ids[self._long_path(cid[starts[i] : ends[i]].tolist())]
+            counts[i] = len(found[i])
+        known = known[length[known] <= LONG]
         for n in np.unique(length[known]):
             group = known[length[known] == n]
             most = max(1, (1 << 20) // int(n))
@@ -275,29 +341,23 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(cps))
         row = np.searchsorted(offs, starts, side="right") - 1
-        up, down = powers(len(cps) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(cps.astype(np.uint64)) * up[: len(cps)])))
-            keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        if len(self.keys) + (~known).sum() > MEMORY:
+        raw = cps.view(np.uint8)
+        first, number = distinct_spans(raw, starts * 4, ends * 4)
+        held = raw.tobytes()
+        parts = [held[4 * x : 4 * y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.known) + len(parts) > MEMORY:
             self.forget()
-            known[:] = False
-        new = np.flatnonzero(~known)
+        new = np.array([i for i, x in enumerate(parts) if x not in self.known], dtype=np.int64)
         if len(new):
             found, counts = self._solve(cid, cps, starts[first[new]], ends[first[new]])
-            place = self.stored + np.concatenate(([0], np.cumsum(counts)))[:-1]
-            self.store = [np.concatenate([*self.store, *found])]
-            self.stored += int(counts.sum())
-            joined = np.concatenate((self.keys, keys[new]))
-            by = np.argsort(joined)
-            self.keys, self.place, self.size = joined[by], np.concatenate((self.place, place))[by], np.concatenate((self.size, counts))[by]
-        at = np.searchsorted(self.keys, keys)
-        place, size = self.place[at][number.ravel()], self.size[at][number.ravel()]
+            place = len(self.store) + np.cumsum(counts) - counts
+            self.known.update(zip([parts[i] for i in new], range(len(self.place), len(self.place) + len(new))))
+            self.store = np.concatenate((self.store, *found))
+            self.place, self.size = np.concatenate((self.place, place)), np.concatenate((self.size, counts))
+        at = np.array([self.known[x] for x in parts], dtype=np.int64)[number]
+        place, size = self.place[at], self.size[at]
         index = np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.store[0][index], np.bincount(row, weights=size, minlength=len(text)).astype(np.int64)
+        return self.store[index], np.bincount(row, weights=size, minlength=len(text)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of id sequences that stand one after the other."""

@@ -1,8 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are split where the byte-level pre-tokeniser always splits: before white space that
-follows a character which is none. Equal segments of a task are encoded once, by the
-tokenizers library itself, in batches balanced by bytes; only lengths leave the worker.
+follows a character which is none. Equal segments of a task, by their bytes, are encoded once, by
+the tokenizers library itself, in batches balanced by bytes; only lengths leave the worker.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings of special tokens
 inside a text are handled as the library does by default; nothing is truncated.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, others, own, table, widened
-from .kernels import BYTE_VALUE, SPACES, chunks, span_hashes
+from .kernels import SPACES, chunks, distinct_spans
 
 BATCH_BYTES = 1 << 19
 CACHE = 1 << 19  # segments that a task remembers
@@ -50,7 +50,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keys, self.lengths = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
 
     def _encode(self, texts: list[bytes]) -> np.ndarray:
         out, batch, held = [], [], 0
@@ -68,23 +68,15 @@ class Counter:
             starts, ends, row = segments(buf, offs)
             if not len(starts):
                 continue
-            keys, first, number = np.unique(span_hashes(buf, starts, ends, BYTE_VALUE), return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), dtype=bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-            lengths = np.zeros(len(keys), dtype=np.int64)
-            lengths[known] = self.lengths[at[known]]
+            first, number = distinct_spans(buf, starts, ends)
             raw = buf.tobytes()
-            new = np.flatnonzero(~known)
-            lengths[new] = self._encode([raw[starts[i] : ends[i]] for i in first[new]])
-            if len(self.keys) + len(new) > CACHE:
-                self.keys, self.lengths = keys, lengths
-            else:
-                keys, lengths_all = np.concatenate((self.keys, keys[new])), np.concatenate((self.lengths, lengths[new]))
-                order = np.argsort(keys)
-                self.keys, self.lengths = keys[order], lengths_all[order]
-            total[a:b] += np.bincount(row, weights=lengths[number.ravel()], minlength=b - a).astype(np.int64)
+            parts = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+            new = [x for x in parts if x not in self.known]
+            if len(self.known) + len(new) > CACHE:
+                self.known, new = {}, parts
+            self.known.update(zip(new, self._encode(new).tolist()))
+            lengths = np.array([self.known[x] for x in parts], dtype=np.int64)
+            total[a:b] += np.bincount(row, weights=lengths[number], minlength=b - a).astype(np.int64)
         return total
 
 

@@ -4,8 +4,9 @@ A word's bag holds its character n-grams (3 to 5, with word ends marked) and the
 itself, hashed into a fixed table. A window of four words is the average of its words'
 bags; a linear softmax over that average gives the window's toxicity, and a document is
 as toxic as its worst window, so a long text does not dilute a short insult. Embeddings
-and softmax are trained jointly (AdaGrad on the worst windows, numpy, on the driver) on
-a bounded sample of labelled rows. Unseen misspellings keep most of their n-grams, and
+and softmax are trained jointly (AdaGrad on the worst windows, numpy, in one executor
+task, which returns the folded weights) on a bounded sample of labelled rows: the TRAIN_ROWS
+of each class that come first by the hash of the id, then by the id. Unseen misspellings keep most of their n-grams, and
 with these most of their score.
 
 For scoring the table is folded into one weight per bucket (4 MB, whatever the corpus),
@@ -13,7 +14,7 @@ which tasks apply to whole texts.
 
 Defined results: null, empty and wordless texts score the rate of an empty bag, near 0;
 if no labelled row of both classes is usable, every score is 0; repeated labels of
-a document count as toxic if one is; null labels and ids without a document are ignored.
+a document count as toxic if one is; of rows that share an id the least text trains; null labels and ids without a document are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, others, own, table, widened
-from .kernels import LOWER_VALUE, U64, chunks, mix, powers, span_hashes, spans
+from .kernels import LOWER_TABLE, LOWER_VALUE, U64, chunks, mix, powers, span_hashes, spans
 
 BUCKETS = 1 << 20
 GRAMS = (3, 4, 5)
@@ -33,6 +34,7 @@ WINDOW = 4
 TRAIN_ROWS = 1500
 TRAIN_BYTES = 10_000
 THRESHOLD = 0.7
+REMEMBERED = 1 << 18  # words that a scoring task remembers
 
 NOT_WORD = np.ones(256, dtype=bool)
 NOT_WORD[0x30:0x3A] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x80:] = False
@@ -41,7 +43,7 @@ NOT_WORD[0x30:0x3A] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x80:
 def distinct_words(buf, offs):
     """Row of each word, its number among the distinct words, these words in one buffer with a separator around each, and their hashes."""
     starts, ends, row = spans(buf, offs, NOT_WORD)
-    keys, first, number = np.unique(span_hashes(buf, starts, ends, LOWER_VALUE), return_index=True, return_inverse=True)
+    keys, first, number = np.unique(span_hashes(buf, starts, ends, LOWER_TABLE), return_index=True, return_inverse=True)
     starts, length = starts[first], (ends - starts)[first]
     begin = np.concatenate(([0], np.cumsum(length + 1)))
     out = np.full(begin[-1] + 1, 0x20, dtype=np.uint8)
@@ -80,11 +82,11 @@ def _windows(row: np.ndarray):
     return np.cumsum(new) - 1, row[new]
 
 
-def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weight of each bucket in a word's average, and the bias, of the log-odds of toxicity."""
+def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """The buckets in use, the weight of each in a word's average, and the bias, of the log-odds of toxicity."""
     y = np.array(labels, dtype=np.float64)
     if not (0 < y.sum() < len(y)):
-        return np.zeros(BUCKETS, dtype=np.float32), -np.inf
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -np.inf
     # words of all chunks, each once: a later chunk's words that an earlier one had take its number
     rows, numbers, which, bucket, hashes, n = [], [], [], [], np.zeros(0, dtype=np.uint64), 0
     for a, _, buf, offs in chunks(pa.array(texts)):
@@ -101,7 +103,9 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, s
         bucket.append(b[new])
         hashes = np.concatenate((hashes, keys[~known]))
         n = len(hashes)
-    row, number, which, bucket = map(np.concatenate, (rows, numbers, which, bucket))
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -np.inf
+    row, number, which, bucket = (np.concatenate(x).astype(np.int32) for x in (rows, numbers, which, bucket))
     length = hashes  # one entry per distinct word
     by = np.argsort(which, kind="stable")
     which, bucket = which[by], bucket[by]
@@ -157,56 +161,94 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 25, s
             soft[:, j] -= 0.02 * g / np.sqrt(g_soft[:, j])
             g_bias[j] += (sign * grad.sum()) ** 2
             bias[j] -= 0.1 * sign * grad.sum() / np.sqrt(g_bias[j])
-    out = np.zeros(BUCKETS, dtype=np.float32)
-    out[used] = emb @ (soft[:, 1] - soft[:, 0])
-    return out, float(bias[1] - bias[0])
-
-
-def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Toxicity of each text of the column."""
-    out = np.full(len(column), bias)
-    for a, b, buf, offs in chunks(column, 1 << 22):
-        row, number, words, begin, length, _ = distinct_words(buf, offs)
-        if not len(row):
-            continue
-        which, bucket = subwords(words, begin, length)
-        word = np.bincount(which, weights=weights[bucket]) / np.bincount(which)
-        window, owner = _windows(row)
-        z = np.bincount(window, weights=word[number]) / np.bincount(window) + bias
-        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        out[a + owner[edge]] = np.maximum(np.maximum.reduceat(z, edge), bias)
-    return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 700))))
+    return used, (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+
+
+class Scorer:
+    """Toxicity of texts under folded weights; remembers the words that it has met."""
+
+    def __init__(self, buckets: np.ndarray, values: np.ndarray, bias: float):
+        self.weights = np.zeros(BUCKETS, dtype=np.float32)
+        self.weights[buckets] = values
+        self.bias = bias
+        self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)
+
+    def words(self, words, begin, length, keys) -> np.ndarray:
+        """The average weight of each word's bag."""
+        out = np.zeros(len(keys), dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            size = length[new] + 1
+            pick = np.repeat(begin[new] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            which, bucket = subwords(np.append(words[pick], np.uint8(0x20)), np.cumsum(size) - size, length[new])
+            out[new] = np.bincount(which, weights=self.weights[bucket]) / np.bincount(which)
+            if len(self.keys) + len(new) > REMEMBERED:
+                self.keys, self.values = keys[:0], out[:0]
+            joined = np.concatenate((self.keys, keys[new]))
+            by = np.argsort(joined)
+            self.keys, self.values = joined[by], np.concatenate((self.values, out[new]))[by]
+        return out
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Toxicity of each text of the column."""
+        out = np.full(len(column), self.bias)
+        for a, _, buf, offs in chunks(column):
+            row, number, words, begin, length, keys = distinct_words(buf, offs)
+            if not len(row):
+                continue
+            word = self.words(words, begin, length, keys)
+            window, owner = _windows(row)
+            z = np.bincount(window, weights=word[number]) / np.bincount(window) + self.bias
+            edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            out[a + owner[edge]] = np.maximum(np.maximum.reduceat(z, edge), self.bias)
+        return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 700))))
+
+
+def _training(batches):
+    """All rows (text, y) of one task to one row: the buckets in use, their weights, the bias."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    buckets, values, bias = train(texts, labels)
+    yield pa.RecordBatch.from_pydict({"buckets": pa.array([buckets.astype("<i4").tobytes()], pa.binary()), "weights": pa.array([values.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
 
 def _held_out(id_col):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES):
-    """(weights, bias) from at most `rows` labelled documents of each class, none of them held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias) from at most `rows` labelled documents of each class, none of them held out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~_held_out(id_col)).groupBy(F.col(id_col).alias(own("id"))).agg((F.max(label_col) == 1).cast("int").alias(own("y")))
     sizes = docs.where(F.octet_length(text_col) <= most_bytes).select(F.col(id_col).alias(own("id"))).join(known, own("id")).distinct()
     picked = None
     for y in (1, 0):
         part = sizes.where(F.col(own("y")) == y).orderBy(F.xxhash64(own("id")), own("id")).limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    sample = docs.where(F.octet_length(text_col) <= most_bytes).join(F.broadcast(picked), F.col(id_col) == F.col(own("id"))).select(own("id"), F.col(text_col).alias("text"), own("y")).dropDuplicates([own("id")]).collect()
-    sample.sort(key=lambda r: r[0])
-    return train([r[1] for r in sample], [r[2] for r in sample])
+    sample = docs.where(F.octet_length(text_col) <= most_bytes).join(F.broadcast(picked), F.col(id_col) == F.col(own("id"))).groupBy(own("id")).agg(F.min(text_col).alias("text"), F.first(own("y")).alias("y"))
+    # at most 2 * rows texts of bounded size: one task holds them, and trains; the driver gets the weights alone
+    model = sample.repartition(1).sortWithinPartitions(own("id")).select("text", "y").mapInArrow(_training, "buckets binary, weights binary, bias double").first()
+    if model is None:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), -np.inf
+    return np.frombuffer(model.buckets, "<i4"), np.frombuffer(model.weights, "<f4"), model.bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """docs with held_out, score and predicted."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    weights, bias = fit(docs, labels, id_col, text_col, label_col)
-    model = spark.sparkContext.broadcast((weights, bias))
+    model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
     score = own("score")
 
     def run(batches):
+        scorer = Scorer(*model.value)
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(i), *model.value), pa.float64())], names=[*batch.schema.names, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(batch.column(i)), pa.float64())], names=[*batch.schema.names, score])
 
     out = docs.mapInArrow(run, widened(docs, **{score: "double"}))
     return out.select(*others(docs, "held_out", "score", "predicted"), _held_out(id_col).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= THRESHOLD).cast("int").alias("predicted"))

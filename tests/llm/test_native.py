@@ -15,8 +15,14 @@ def test_line_dedup(spark):
     rows = [(i, f"own line {i} with words\nAll rights reserved.\n\n own  {i}\nnear {i % 11}", f"s{i}", "clash") for i in range(60)]
     rows += [(100, None, "s1", None), (101, "", None, None), (102, "All rights reserved.", "s1", None), (103, "x\nAll rights reserved. \nthe rest of the document stays here", None, None), (103, "x\nAll rights reserved. \nthe rest of the document stays here", None, None)]
     df = spark.createDataFrame(rows, DOCS)
-    spread = defaultdict(set)
+    rows += [(200 + i, "a copy as a whole\nof one document", f"s{i}", None) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    spread, least = defaultdict(set), {}
+    for _, t, s, _ in rows:
+        if s is not None:
+            least[t] = min(least.get(t, s), s)
     for _, t, s, _ in rows:
+        s = least.get(t)
         for line in (t or "").split("\n"):
             if line.strip(" ") and s is not None:
                 spread[line.strip(" ")].add(s)
@@ -26,7 +32,7 @@ def test_line_dedup(spark):
             return None, 0
         kept = [x for x in t.split("\n") if not len(spread.get(x.strip(" "), ())) >= 10]
         new = "\n".join(kept)
-        return (t, 0) if len(t) - len(new) > 0.5 * len(t) else (new, len(t.split("\n")) - len(kept))
+        return new, len(t.split("\n")) - len(kept)
 
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup(df).collect()), key=str)
     assert got == sorted(((i, *clean(t)) for i, t, _, _ in rows), key=str)
