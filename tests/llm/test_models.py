@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from lectern.llm.html_extraction import content, extract, fold, hash_text, match, parse, shape, wrappers
+from lectern.llm.html_extraction import content, extract, fold, hash_text, match, packed, parse, shape, unpacked, wrappers
 from lectern.llm.lm_scoring import lm_scores
 from lectern.llm.toxicity import drop_toxic, toxicity
 
@@ -76,17 +76,49 @@ def test_extract(spark):
     assert extract(df.limit(0)).count() == 0 and wrappers(df).where("host is null").count() == 0
 
 
+def wrapper(pages):
+    tree = None
+    for html in pages:
+        page = parse(html)
+        one = shape(page, hash_text(content(page, None)))
+        tree = fold(tree, one) if tree else one
+    return unpacked(packed(tree))
+
+
 def test_copies_of_one_article_are_no_template():
     one = PAGE.format(1)
-    tree = None
-    for _ in range(9):
-        page = parse(one)
-        s = shape(page, hash_text(content(page, None)))
-        tree = fold(tree, s) if tree else s
-    assert content(parse(one), tree) == "Head 1 First bolded & 1 next Second 1 Read all our stories"
+    assert content(parse(one), wrapper([one] * 9)) == "Head 1 First bolded & 1 next Second 1 Read all our stories"
+
+
+BARE = """<html><body><div><ul><li><a href="/">Home {1}</a><li><a href="/x">News {1}</a></ul></div><div>Buy {1} now</div><div><h1>Head {0}</h1><p>First {0} of some length<p>Second {0}</div>{2}<div>All rights {1}</div></body></html>"""
+
+
+def test_wrapper_finds_the_article_without_names():
+    """No class, role or telling element: the slot of the varying text is the article, also on pages that alone would be judged otherwise."""
+    text = lambda i: f"text {i} " * 30
+    pages = [BARE.format(text(i), i, "<div><p>More like this<p>And this</div>" if i % 2 else "") for i in range(6)]
+    tree = wrapper(pages)
+    for i, html in enumerate(pages):
+        assert content(parse(html), tree) == " ".join(f"Head {text(i)} First {text(i)} of some length Second {text(i)}".split())
+    short = BARE.format("x", "many more words than the article has, and then as many again, to be sure", "")
+    assert content(parse(short), tree) == "Head x First x of some length Second x" != content(parse(short), None)
+
+
+def test_names_alone_do_not_drop_articles():
+    one = '<article><h1>T</h1><div class="share-price related-work">Body of it</div><p id="login-flow">and more</p><div class="related-work"><a href="/">See this</a></div><div class="comment-list">Nice</div></article>'
+    assert content(parse(one), None) == "T Body of it and more"
+    teaser = f"<body><article>A teaser</article><div><p>{'main text ' * 20}</p></div></body>"
+    assert content(parse(teaser), None).endswith("main text")
+
+
+def test_any_depth():
+    deep = '<div class="comments">' + "<div>" * 5000 + "</div>" * 5000 + "<p>reader comment</p></div><p>main</p>"
+    assert content(parse(deep), None) == "main"
+    page = "<div>" * 5000 + "<p>main</p>" + "</div>" * 5000
+    assert content(parse(page), wrapper([page, page.replace("main", "other")])) == "main"
 
 
 def test_matching_keeps_order():
-    leaf = lambda s: [s, 0, [], []]
-    a, b = ["r", 0, [], [leaf("x"), leaf("y"), leaf("z")]], ["r", 0, [], [leaf("z"), leaf("x"), leaf("z")]]
+    leaf = lambda s: [s, 0, [], 0, [], None]
+    a, b = ["r", 0, [], 0, [leaf("x"), leaf("y"), leaf("z")], None], ["r", 0, [], 0, [leaf("z"), leaf("x"), leaf("z")], None]
     assert match(a, b) == (3, [(0, 1), (2, 2)])
