@@ -20,7 +20,8 @@ A document's set holds its distinct k-word shingles; two documents link when
 
 Defined results: null or blank text has n = 0 and links with nothing; fewer than k words
 are one shingle; repeated rows each get a row; a null id is never a component's name
-(a component without ids has null); other columns of the input pass through untouched.
+(a component without ids has null); the result names its own columns alone, so other columns of
+the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -34,13 +35,17 @@ from .common import arrow_rows, components, cut, own, row_key, settled, small_si
 from .kernels import chunks, mix, sequence_hash, shingle_sets
 
 CELLS = 1 << 22
+PARTS = 16  # of the sketch
+MERGED = 64  # tasks' counts of a part that are added in one task
 WORDS = 16  # of a parity bitmap: 1024 bits
 PIECE = 1 << 20  # postings of a packed piece's bucket, about
-BLOCK = 512  # nodes of a component that are compared at once with as many others
+BLOCK = 512  # nodes of a posting list or of a component that meet as many others under one key
 
 
 def _sketch(k: int):
     def run(batches):
+        from pyspark import TaskContext
+
         cells, seen = np.zeros(CELLS, dtype=np.uint32), set()
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
@@ -51,26 +56,47 @@ def _sketch(k: int):
                         new.append(s)
                 if new:
                     cells += np.bincount((np.concatenate(new) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        step = CELLS // 16
-        cells = np.minimum(cells, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(16), pa.int32()), "cells": pa.array([cells[i * step : (i + 1) * step].tobytes() for i in range(16)], pa.binary())})
+        yield _parts(TaskContext.get().partitionId(), np.minimum(cells, 255).astype(np.uint8))
 
     return run
 
 
+def _parts(task: int, cells: np.ndarray) -> pa.RecordBatch:
+    step = CELLS // PARTS
+    data = [pa.compress(pa.py_buffer(cells[i * step : (i + 1) * step]), codec="zstd", asbytes=True) for i in range(PARTS)]
+    return pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "task": pa.array([task] * PARTS, pa.int32()), "cells": pa.array(data, pa.binary())})
+
+
+def _cells(data: pa.Buffer) -> np.ndarray:
+    """A part's counts; sums have two bytes each, the counts of one task one."""
+    for kind in ("<u2", "u1"):
+        size = CELLS // PARTS * np.dtype(kind).itemsize
+        try:
+            raw = pa.decompress(data, size, codec="zstd")
+        except (pa.ArrowInvalid, OSError):
+            continue
+        if raw.size == size:
+            return np.frombuffer(raw, dtype=kind)
+    raise ValueError("not the counts of a part")
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(CELLS // 16, dtype=np.uint32)
+    total = np.zeros(CELLS // PARTS, dtype=np.uint32)
     for x in table.column("cells"):
-        total += np.frombuffer(x.as_py(), dtype=np.uint16)
-    return pa.table({"part": table.column("part")[:1], "cells": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+        total += _cells(x.as_buffer())
+    data = pa.compress(pa.py_buffer(np.minimum(total, 65535).astype("<u2")), codec="zstd", asbytes=True)
+    return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "cells": pa.array([data], pa.binary())})
 
 
 def sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """Estimated counts of all shingles by cell; its size does not depend on the input."""
-    parts = texts.mapInArrow(_sketch(k), "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary").collect()
+    """Estimated counts of all shingles by cell; its size does not depend on the input. Tasks' counts are added MERGED at a time."""
+    tasks, parts = texts.rdd.getNumPartitions(), texts.mapInArrow(_sketch(k), "part int, task int, cells binary")
+    while tasks > 1:
+        tasks = -(-tasks // MERGED)
+        parts = parts.withColumn("task", F.floor(F.col("task") / MERGED).cast("int")).groupBy("part", "task").applyInArrow(_add, "part int, task int, cells binary")
     out = np.zeros(CELLS, dtype=np.uint16)
-    for p in parts:
-        out[p.part * (CELLS // 16) : (p.part + 1) * (CELLS // 16)] = np.frombuffer(p.cells, dtype=np.uint16)
+    for p in parts.collect():
+        out[p.part * (CELLS // PARTS) : (p.part + 1) * (CELLS // PARTS)] = _cells(pa.py_buffer(p.cells))
     return out
 
 
@@ -185,14 +211,12 @@ def _lists(percent: int):
 
 
 def packed(s: np.ndarray) -> bytes:
-    """A set for shipping: 40 bits of each shingle, in order. Two shingles of a pair agree in these by chance once in 10^12."""
-    low = np.sort(s & np.uint64(2**40 - 1))
-    return (low & np.uint64(2**32 - 1)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes()
+    """A set for shipping: its shingles in order, whole."""
+    return s.astype("<u8").tobytes()
 
 
 def unpacked(data) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return np.frombuffer(data, "<u8")
 
 
 def _sets(k: int):
@@ -242,24 +266,29 @@ def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFr
     return settled(members.join(wide, "list").join(nodes.select("node", *BITS), "node"))
 
 
-def across(members: DataFrame, percent: int, block: int | None = None, nearest: bool = False) -> DataFrame:
+def across(members: DataFrame, percent: int, block: int | None = None, nearest: bool = False, cell: int = BLOCK) -> DataFrame:
     """Node pairs (a, b) of one list and two components that could link.
 
     With `block`, a list is cut at random into blocks of about that many nodes and only pairs
-    within a block are made: linear in the lists. Without it, all pairs are made. With
-    `nearest`, each node keeps the pair of least bound.
+    within a block are made: linear in the lists. Without it, all pairs are tried: a list of more
+    than `cell` nodes is cut into blocks too, and each two blocks meet under a key of their own.
+    With `nearest`, each node keeps the pair of least bound.
     """
-    keys = ["list"]
+    keys = ["list", "lo", "hi"]
+    members = members.withColumn("blocks", F.ceil(F.col("size") / (block or cell)))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("node", "list"), "blocks"))
     if block:
-        members = members.withColumn("block", F.pmod(F.xxhash64("node", "list"), F.ceil(F.col("size") / block)))
-        keys.append("block")
-    x, y = (members.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", *BITS)]) for side in "ab")
+        sides = dict.fromkeys("ab", members.withColumns({"lo": F.col("mine"), "hi": F.col("mine")}))
+    else:
+        sides = {"a": members.withColumn("lo", F.col("mine")).withColumn("hi", F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)))}
+        sides["b"] = members.withColumn("hi", F.col("mine")).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))))
+    x, y = (df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", *BITS)]) for side, df in sides.items())
     apart = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
     most = f"a_n + b_n - 2 * int(({percent} * (a_n + b_n) + {99 + percent}) / {100 + percent})"  # symmetric difference of two sets that link
-    can = f"a_node < b_node and a_c <> b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart} <= {most}"
+    can = f"(lo < hi or a_node < b_node) and a_c <> b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart} <= {most}"
     found = x.join(y, keys).where(can)
     if not nearest:
-        return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     found = found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.expr(apart).alias("d"))
     one = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")).unionByName(found.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")))
     return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -376,7 +405,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = settled(lists.distinct())
     for some, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
-        more = settled(across(members, percent, some, nearest).join(pairs, ["a", "b"], "left_anti"))
+        more = settled(across(members, percent, some, nearest, block).join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         found = verified(more, key, texts, k, percent)

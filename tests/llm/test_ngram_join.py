@@ -1,5 +1,7 @@
 import random
 
+from test_tokenizers import morse
+
 from lectern.llm.ngram_join import keep_one, ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, node string"
@@ -52,6 +54,12 @@ def test_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = [(i, morse(n, x, y), "x") for i, (n, x, y) in enumerate((n, x, y) for n in (1024, 4096) for x, y in ("ab", "ba", "qz", "zq"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (1, i) for i, *_ in rows}
+
+
 def test_repeats_nulls_and_empty(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (None, "z z z z z y", "x")]
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())
