@@ -156,7 +156,7 @@ def _postings(k: int, percent: int, buckets: int, order):
                             posts.append(rows)
                             held += p
                     nodes.append((keys[i], ids[i] if known else 0, known, n, node, group, bits))
-            if held > 4 * PIECE:
+            if held > PIECE:
                 yield flush(posts, nodes)
                 posts, nodes, held = [], [], 0
         yield flush(posts, nodes)

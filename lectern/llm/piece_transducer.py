@@ -31,7 +31,7 @@ from .common import arrow_rows, others, own, table, widened
 from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
-MEMORY = 1 << 19  # segments that a task remembers
+MEMORY = 1 << 18  # segments that a task remembers
 SLOTS = 1 << 20  # of the neighbour table
 LONG = 200  # characters of a segment above which its path is found alone
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -386,7 +386,7 @@ def sentencepiece(docs: DataFrame, model: bytes, text_col: str = "text", ids_col
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             ids, offs, decoded = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], []
-            for first, end, _, _ in chunks(column, 1 << 22):
+            for first, end, _, _ in chunks(column):
                 got, counts = encoder.encode([x or "" for x in column.slice(first, end - first).to_pylist()])
                 ids.append(got)
                 offs.append(np.cumsum(counts) + offs[-1][-1])

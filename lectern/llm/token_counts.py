@@ -19,7 +19,7 @@ from .common import arrow_rows, others, own, table, widened
 from .kernels import SPACES, chunks, distinct_spans
 
 BATCH_BYTES = 1 << 19
-CACHE = 1 << 19  # segments that a task remembers
+CACHE = 1 << 18  # segments that a task remembers
 
 
 def segments(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ class Counter:
 
     def count(self, column: pa.Array) -> np.ndarray:
         total = np.zeros(len(column), dtype=np.int64)
-        for a, b, buf, offs in chunks(column, 1 << 22):
+        for a, b, buf, offs in chunks(column, 1 << 21):
             starts, ends, row = segments(buf, offs)
             if not len(starts):
                 continue
