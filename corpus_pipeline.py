@@ -7,7 +7,7 @@ kept, and returns what it keeps; all but the last return the columns of document
 import uuid
 
 from lectern.llm import decontamination, line_dedup, ngram_join, piece_transducer, toxicity
-from lectern.llm.common import checkpoint_folder
+from lectern.llm.common import checkpoint_folder, drop_folder
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -42,10 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """documents through all stages, each written to the shared checkpoint folder and read again."""
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """documents through all stages, each written to the shared checkpoint folder, read again by the next and then deleted; the last stays."""
+    folder, last = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        written = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if last:
+            drop_folder(spark, last)
+        last = written
     return docs

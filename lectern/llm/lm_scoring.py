@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, others, own, row_key, small_side, table
+from .common import arrow_rows, cut, others, own, row_key, small_side, table, tidy
 from .kernels import SPACES, U64, chunks, mix, span_hashes
 
 PIECE = 1 << 21  # tokens of a piece, about
@@ -192,7 +192,7 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     flagged = docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text"), row_key(docs, id_col, text_col).alias(key)).join(small_side(cut(wanted)), id_, "left")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(8, size // 8 // RANGE + 1)
-    pieces = flagged.select("text", key, F.coalesce(good, F.lit(False)).alias("good")).mapInArrow(_pieces(ranges, piece), _PIECES)
+    pieces = flagged.select("text", key, F.coalesce(good, F.lit(False)).alias("good")).mapInArrow(tidy(_pieces(ranges, piece)), _PIECES)
     answers = pieces.groupBy("range").applyInArrow(_adding, "range int, piece long, texts binary, singles long, share binary, counts binary, good binary")
     scores = answers.groupBy("piece").applyInArrow(_scoring(ranges), "key long, n_tokens long, loss_target double, loss_background double")
     names = ["n_tokens", "loss_target", "loss_background"]

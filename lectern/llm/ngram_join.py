@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut, own, row_key, settled, small_side
+from .common import arrow_rows, components, cut, own, row_key, settled, small_side, tidy
 from .kernels import chunks, mix, sequence_hash, shingle_sets
 
 CELLS = 1 << 22
@@ -55,7 +55,7 @@ def _sketch(k: int):
                         seen.add(key)
                         new.append(s)
                 if new:
-                    cells += np.bincount((np.concatenate(new) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                    np.add(cells, np.bincount((np.concatenate(new) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), out=cells, casting="unsafe")
         yield _parts(TaskContext.get().partitionId(), np.minimum(cells, 255).astype(np.uint8))
 
     return run
@@ -90,7 +90,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def sketch(texts: DataFrame, k: int) -> np.ndarray:
     """Estimated counts of all shingles by cell; its size does not depend on the input. Tasks' counts are added MERGED at a time."""
-    tasks, parts = texts.rdd.getNumPartitions(), texts.mapInArrow(_sketch(k), "part int, task int, cells binary")
+    tasks, parts = texts.rdd.getNumPartitions(), texts.mapInArrow(tidy(_sketch(k)), "part int, task int, cells binary")
     while tasks > 1:
         tasks = -(-tasks // MERGED)
         parts = parts.withColumn("task", F.floor(F.col("task") / MERGED).cast("int")).groupBy("part", "task").applyInArrow(_add, "part int, task int, cells binary")
@@ -251,11 +251,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = small_side(settled(nodes.join(wanted, "node")))
     found = docs.join(wanted.select("key"), "key", "left_semi").select("text", "key")
-    sets = found.mapInArrow(_sets(k), "key long, set binary").join(wanted, "key").select("node", "set")
+    sets = found.mapInArrow(tidy(_sets(k)), "key long, set binary").join(wanted, "key").select("node", "set")
     left = pairs.join(sets, pairs["a"] == sets["node"]).select("a", "b", F.col("set").alias("x"))
     full = left.join(sets, left["b"] == sets["node"]).select("a", "b", "x", F.col("set").alias("y"))
     # rows that repeat a document may bring its set twice
-    return settled(full.mapInArrow(_verify(percent), "a long, b long").distinct())
+    return settled(full.mapInArrow(tidy(_verify(percent)), "a long, b long").distinct())
 
 
 def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def degrees(named: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     bins = many.count() // 2000 + 1
     many = small_side(many)
     found = docs.join(many.select("key"), "key", "left_semi").select("text", "key")
-    sets = found.mapInArrow(_sets(k), "key long, set binary").join(many, "key")
+    sets = found.mapInArrow(tidy(_sets(k)), "key long, set binary").join(many, "key")
     rows = sets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "c", "set", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("node", "c", "set", "blocks", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = rows.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("c"), F.lit(bins))).otherwise(F.xxhash64("c", "lo", "hi")))
@@ -383,7 +383,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, int(size / 6 * (100 - percent) / 100 / PIECE) + 1)
     order = spark.sparkContext.broadcast(sketch(texts.select("text"), k))
-    packed = texts.mapInArrow(_postings(k, percent, buckets, order), "bucket int, kind int, data binary")
+    packed = texts.mapInArrow(tidy(_postings(k, percent, buckets, order)), "bucket int, kind int, data binary")
     rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long, " + ", ".join(f"{b} long" for b in BITS)))
 
     every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g", *BITS)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, others, own, table, widened
+from .common import arrow_rows, others, own, table, tidy, widened
 from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
@@ -396,7 +396,7 @@ def sentencepiece(docs: DataFrame, model: bytes, text_col: str = "text", ids_col
             texts = pa.array([None if m else x for m, x in zip(missing, decoded)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=[*batch.schema.names, a, b])
 
-    out = docs.mapInArrow(run, widened(docs, **{a: "array<int>", b: "string"}))
+    out = docs.mapInArrow(tidy(run), widened(docs, **{a: "array<int>", b: "string"}))
     return out.select(*others(docs, ids_col, decoded_col), F.col(a).alias(ids_col), F.col(b).alias(decoded_col))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, others, own, table, widened
+from .common import arrow_rows, others, own, table, tidy, widened
 from .kernels import SPACES, chunks, distinct_spans
 
 BATCH_BYTES = 1 << 19
@@ -93,7 +93,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text_col: str = "text", l
             i = batch.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter.count(batch.column(i)), pa.int64())], names=[*batch.schema.names, n])
 
-    out = docs.mapInArrow(run, widened(docs, **{n: "long"}))
+    out = docs.mapInArrow(tidy(run), widened(docs, **{n: "long"}))
     return out.select(*others(docs, "n_bytes", "n_tokens", "over_limit"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(n).alias("n_tokens"), (F.col(n) > limit).alias("over_limit"))
 
 

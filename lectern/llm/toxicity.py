@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, others, own, table, widened
+from .common import arrow_rows, others, own, table, tidy, widened
 from .kernels import LOWER_TABLE, LOWER_VALUE, U64, chunks, mix, powers, span_hashes, spans
 
 BUCKETS = 1 << 20
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = part if picked is None else picked.unionByName(part)
     sample = docs.where(F.octet_length(text_col) <= most_bytes).join(F.broadcast(picked), F.col(id_col) == F.col(own("id"))).groupBy(own("id")).agg(F.min(text_col).alias("text"), F.first(own("y")).alias("y"))
     # at most 2 * rows texts of bounded size: one task holds them, and trains; the driver gets the weights alone
-    model = sample.repartition(1).sortWithinPartitions(own("id")).select("text", "y").mapInArrow(_training, "buckets binary, weights binary, bias double").first()
+    model = sample.repartition(1).sortWithinPartitions(own("id")).select("text", "y").mapInArrow(tidy(_training), "buckets binary, weights binary, bias double").first()
     if model is None:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), -np.inf
     return np.frombuffer(model.buckets, "<i4"), np.frombuffer(model.weights, "<f4"), model.bias
@@ -250,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             i = batch.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(batch.column(i)), pa.float64())], names=[*batch.schema.names, score])
 
-    out = docs.mapInArrow(run, widened(docs, **{score: "double"}))
+    out = docs.mapInArrow(tidy(run), widened(docs, **{score: "double"}))
     return out.select(*others(docs, "held_out", "score", "predicted"), _held_out(id_col).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= THRESHOLD).cast("int").alias("predicted"))
 
 
