@@ -129,8 +129,13 @@ def code_label(x) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(_col(x), "_+", " "), r"\s+", " "))
 
 
+# fixed values: letters that fold to several or to others, beyond their lower case
+FOLDS = (("ß", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ς", "σ"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("և", "եւ"), ("ẞ", "ss"))
+
+
 def casefold(x) -> Column:
-    return F.replace(F.lower(_col(x)), F.lit("ß"), F.lit("ss"))
+    """Lower case with the letters of FOLDS folded."""
+    return reduce(lambda t, f: F.replace(t, F.lit(f[0]), F.lit(f[1])), FOLDS, F.lower(_col(x)))
 
 
 def separator_insensitive(x) -> Column:
@@ -175,7 +180,12 @@ def readable(x) -> Column:
 
 def message_value(messages_text, label: str) -> Column:
     """TX20: the value after the first `Label:` line."""
-    return F.trim(F.regexp_extract(_col(messages_text), rf"(?m)^{label}:(.*)$", 1))
+    return F.trim(F.regexp_extract(_col(messages_text), rf"(?m)^\Q{label}\E:(.*)$", 1))
+
+
+def last_message_value(messages, label: str) -> Column:
+    """TX20: message_value of the last message's content."""
+    return message_value(F.element_at(_col(messages), -1)["content"], label)
 
 
 def line_number(text, offset) -> Column:

@@ -41,9 +41,10 @@ def first_records(records: DataFrame, order: list[str], limit: int) -> DataFrame
 
 def length_profile(rows: DataFrame, value: str, by: str) -> DataFrame:
     """A10: count, min, nearest-rank percentiles and max by group and over all (`__all__`)."""
-    rows.createOrReplaceTempView("_profile")
-    parts = ", ".join(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value}) AS p{p}" for p in (50, 90, 95, 99))
-    return rows.sparkSession.sql(f"SELECT CASE WHEN grouping({by}) = 1 THEN '__all__' ELSE {by} END AS grp, count({value}) AS n, min({value}) AS min_value, {parts}, max({value}) AS max_value FROM _profile GROUP BY GROUPING SETS (({by}), ())")
+    ranks = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{p}") for p in (50, 90, 95, 99)]
+    sets = rows.groupingSets([[F.col(by)], []], F.col(by))
+    out = sets.agg(F.grouping(by).alias("_all"), F.count(value).alias("n"), F.min(value).alias("min_value"), *ranks, F.max(value).alias("max_value"))
+    return out.withColumn("grp", F.when(F.col("_all") == 1, "__all__").otherwise(F.col(by))).select("grp", "n", "min_value", "p50", "p90", "p95", "p99", "max_value")
 
 
 def over_limit(rows: DataFrame, value: str, limit: int) -> DataFrame:

@@ -33,10 +33,12 @@ def rejection_matrix(pairs: DataFrame, categories: DataFrame, category: str = "c
     return cells.join(pairs.groupBy(category, "rejected").agg(F.count("*").alias("n")), [category, "rejected"], "left").fillna(0, ["n"])
 
 
-def bundle_violations(pairs: DataFrame, keys: list[str], expect: int = 4, category: str = "category") -> DataFrame:
-    """Records without exactly `expect` rows of as many categories."""
-    g = pairs.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(category).alias("n_categories"))
-    return g.where((F.col("n_rows") != expect) | (F.col("n_categories") != expect))
+def bundle_violations(pairs: DataFrame, keys: list[str], expect: int = 4, category: str = "category", transcript: str | None = None) -> DataFrame:
+    """Records without exactly `expect` rows of as many categories, or of several transcripts."""
+    one = [F.count_distinct(transcript).alias("n_transcripts")] if transcript else []
+    g = pairs.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(category).alias("n_categories"), *one)
+    bad = (F.col("n_rows") != expect) | (F.col("n_categories") != expect)
+    return g.where(bad | (F.col("n_transcripts") != 1) if transcript else bad)
 
 
 def conversation(prompt, chosen, rejected) -> Column:
@@ -76,9 +78,25 @@ def group_split(records: DataFrame, dataset: str, group: str, record: str, fract
 
 
 def holdout(rows: DataFrame, dataset: str, test_sets: list[str], line: str) -> DataFrame:
-    """SP5, J14, W9: the dataset decides the split; lines are numbered within a split in source order, source lines stay."""
+    """SP5, J14, W9: the dataset decides the split; lines are numbered within a split in source order, source lines stay.
+
+    Rows are dealt by ranges of (split, line), and each range goes on from the counts of those before it: no task sorts a split.
+    """
+    from .cuts import written
+
     split = F.when(F.col(dataset).isin(*test_sets), "test").otherwise("train")
-    return rows.withColumn("split", split).withColumn("line_number", F.row_number().over(Window.partitionBy("split").orderBy(line)))
+    dealt = written(rows.withColumn("split", split).repartitionByRange("split", line).withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("split", "_part").agg(F.count("*").alias("n")).withColumn("_before", before).drop("n")
+    place = F.row_number().over(Window.partitionBy("split", "_part").orderBy(line))
+    return dealt.withColumn("_place", place).join(F.broadcast(counts), ["split", "_part"]).withColumn("line_number", (F.col("_before") + F.col("_place")).cast("int")).select(*rows.columns, "split", "line_number")
+
+
+def disjoint_holdout(rows: DataFrame, key: str) -> None:
+    """SP5: raises if a key stands in both splits."""
+    both = overlap(rows.where("split = 'train'"), rows.where("split = 'test'"), key)
+    if found := [r[0] for r in both.orderBy(key).limit(10).collect()]:
+        raise ValueError(f"{key} in both splits: {found}")
 
 
 def overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -148,3 +148,8 @@ def field_lines(fields: list[str]) -> Column:
 def artefact_id(record, step, sample, attempt, text) -> Column:
     """SK11: the ids and the first 12 hex digits of the text's sha256."""
     return F.concat_ws("_", record, step, F.col(sample).cast("string"), F.col(attempt).cast("string"), F.substr(F.sha2(text, 256), F.lit(1), F.lit(12)))
+
+
+def focused(samples, fields: list[str]) -> Column:
+    """PF11: the samples with these fields alone, in their order."""
+    return F.transform(samples, lambda s: F.struct(*[s[f].alias(f) for f in fields]))

@@ -71,7 +71,7 @@ def full_context(turns: DataFrame) -> DataFrame:
 def analysis_context(turns: DataFrame, scope: str, before: int = 20, after: int = 20) -> DataFrame:
     """(interview_id, turn_index, context) of participant turns under a scope."""
     if scope == "immediate":
-        out = neighbours(turns).withColumn("context", F.concat_ws("\n", F.nullif("previous_context", F.lit("")), F.nullif("next_context", F.lit(""))))
+        out = neighbours(turns).withColumn("context", F.concat(F.lit("Previous context:\n"), "previous_context", F.lit("\n\nNext context:\n"), "next_context"))
     elif scope == "turn_window":
         out = window_context(turns, before, after)
     elif scope == "full_interview":
@@ -85,3 +85,9 @@ def order_violations(turns: DataFrame, index: str = "turn_index", by: str = "ord
     """Turns whose index does not exceed the one before, in the order given."""
     w = Window.partitionBy("interview_id").orderBy(by)
     return turns.withColumn("before", F.lag(index).over(w)).where(F.col(index) <= F.col("before"))
+
+
+def turn_errors(turns: DataFrame) -> DataFrame:
+    """Turns with the errors of their fields: an index, a known speaker, a text, a place in the source."""
+    found = [F.when(F.col("turn_index").isNull() | (F.col("turn_index") < 0), "no index"), F.when(~F.coalesce(F.col("role").isin("interviewer", "participant"), F.lit(False)), "unknown speaker"), F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no text")]
+    return turns.withColumn("errors", F.array_compact(F.array(*found)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, spans
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import attempts, generation, lineage, pairs, ranking, records, selection, turns
+from ..operators import attempts, contracts, generation, lineage, pairs, prompts, ranking, records, selection, turns
 from ..sources import html
 from .tables import candidates, conversation_turns, read
 
@@ -234,28 +234,26 @@ def unclear_spans(spark, d):
     return rows.select("doc_id", F.size("total_tokens").alias("n_total"), F.size("clear_tokens").alias("n_clear"))
 
 
-@query(f"SELECT doc_id, pos, len(ft) > 0 AND len(list_filter(ft, lambda t: NOT regexp_full_match(t, '(?i)(?:{L.FILLER})'))) = 0 AS filler FROM (SELECT doc_id, pos, list_filter(regexp_split_to_array(ls[pos], '[\\s,.;!?…''\"()\\-]+'), lambda t: t <> '') AS ft FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(replace(text, 'the', 'mm'), ' ') AS ls FROM documents)) WHERE ls[pos] <> '') WHERE pos <= 50")
+@query(f"SELECT doc_id, pos, len(ft) > 0 AND len(list_filter(ft, lambda t: NOT regexp_full_match(t, '(?i)(?:{L.FILLER})'))) = 0 AS filler FROM (SELECT doc_id, pos, list_filter(regexp_split_to_array(ls[pos], '[\\s,.;!?…''\"()\\-]+'), lambda t: t <> '') AS ft FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(replace(text, 'the', 'mm'), ' ') AS ls FROM documents)) WHERE ls[pos] <> '')")
 def filler_words(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("the"), F.lit("mm")), " ")).alias("p", "w")).where("w <> '' and p < 50")
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("the"), F.lit("mm")), " ")).alias("p", "w")).where("w <> ''")
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), (T.is_filler("w") & (F.regexp_replace("w", r"[\s,.;!?…'\"()\-]+", "") != "")).alias("filler"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(left(text, 60), ' ', '_'), '_+', ' ', 'g'), '\s+', ' ', 'g')) AS code_label FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, ' ', '_'), '_+', ' ', 'g'), '\s+', ' ', 'g')) AS code_label FROM documents")
 def code_labels(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.code_label(F.replace(F.substr("text", F.lit(1), F.lit(60)), F.lit(" "), F.lit("_"))).alias("code_label"))
+    return read(spark, d, "documents").select("doc_id", T.code_label(F.replace("text", F.lit(" "), F.lit("_"))).alias("code_label"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(left(text, 60), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS ident, coalesce(nullif(trim(lower(regexp_replace(left(text, 60), '[^a-zA-Z0-9]+', '_', 'g')), '_'), ''), 'unnamed_code') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g'), '_') AS ident, coalesce(nullif(trim(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g')), '_'), ''), 'unnamed_code') AS slug FROM documents")
 def slug_ids(spark, d):
-    head = F.substr("text", F.lit(1), F.lit(60))
-    return read(spark, d, "documents").select("doc_id", T.identifier(head).alias("ident"), T.slug(head).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", T.identifier("text").alias("ident"), T.slug("text").alias("slug"))
 
 
-@query("SELECT doc_id, length(x) >= 24 AND NOT regexp_matches(x, '\\s') AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 20 AS collapsed, replace(lower(regexp_replace(left(text, 40), '[\\s_]+', '', 'g')), 'ß', 'ss') AS folded FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN replace(left(text, 40), ' ', '') ELSE left(text, 40) END AS x FROM documents)")
+@query("SELECT doc_id, length(x) >= 24 AND NOT regexp_matches(x, '\\s') AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 20 AS collapsed, replace(lower(regexp_replace(text, '[\\s_]+', '', 'g')), 'ß', 'ss') AS folded FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\\s', '', 'g') ELSE text END AS x FROM documents)")
 def collapsed_text(spark, d):
-    head = F.substr("text", F.lit(1), F.lit(40))
-    x = F.when(F.col("doc_id") % 2 == 0, F.replace(head, F.lit(" "), F.lit(""))).otherwise(head)
-    return read(spark, d, "documents").select("doc_id", T.is_collapsed(x).alias("collapsed"), T.separator_insensitive(head).alias("folded"))
+    x = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"\s", "")).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", T.is_collapsed(x).alias("collapsed"), T.separator_insensitive("text").alias("folded"))
 
 
 @query("SELECT doc_id, CAST(length(x) - length(replace(replace(x, chr(288), ''), chr(266), '')) AS BIGINT) AS replaced, sha256(x) AS before_sha256, sha256(replace(replace(x, chr(266), chr(10)), chr(288), ' ')) AS after_sha256 FROM (SELECT doc_id, replace(replace(text, ' ', chr(288)), '.', chr(266)) AS x FROM documents)")
@@ -343,10 +341,10 @@ def domain_holdout(spark, d):
     return pairs.holdout(read(spark, d, "documents").select("doc_id", "lang"), "lang", ["de", "es"], "doc_id").withColumn("line_number", F.col("line_number").cast("long"))
 
 
-@query("SELECT text FROM documents WHERE lang IN ('de', 'es') INTERSECT SELECT text FROM documents WHERE lang NOT IN ('de', 'es')")
+@query("SELECT source FROM documents WHERE lang IN ('de', 'es') INTERSECT SELECT source FROM documents WHERE lang NOT IN ('de', 'es')")
 def split_overlap(spark, d):
     docs = read(spark, d, "documents")
-    return pairs.overlap(docs.where("lang not in ('de', 'es')"), docs.where("lang in ('de', 'es')"), "text")
+    return pairs.overlap(docs.where("lang not in ('de', 'es')"), docs.where("lang in ('de', 'es')"), "source")
 
 
 @query("SELECT lang, source, count(DISTINCT doc_id) AS n_records FROM documents GROUP BY 1, 2")
@@ -369,20 +367,20 @@ def prompt_template(spark, d):
     return read(spark, d, "documents").select("doc_id", T.template("Doc {id} in {place}: {lang} {{x}}", id="doc_id", lang="lang").alias("prompt"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' END AS payload, doc_id % 4 = 0 AS ok, '{"doc_id":' || doc_id || '}' AS tolerant_payload, 'braces' AS tolerant_method FROM documents""")
 def strict_json(spark, d):
     x = F.concat(F.lit("```json\n"), F.to_json(F.struct("doc_id", "lang")), F.when(F.col("doc_id") % 4 == 0, "\n```").otherwise("}\n```"))
     rows = read(spark, d, "documents").select("doc_id", jsonx.parse_strict(x).alias("s"), jsonx.parse_tolerant(F.concat(F.to_json(F.struct("doc_id")), F.lit("}}"))).alias("t"))
     return rows.select("doc_id", "s.payload", F.col("s.error").isNull().alias("ok"), F.col("t.payload").alias("tolerant_payload"), F.col("t.method").alias("tolerant_method"))
 
 
-@query()
+@query("""SELECT doc_id, 'valid' AS status, '{"digest":"' || substr(sha256('42' || chr(0) || p), 1, 12) || '","echo":' || CAST(to_json(substr(p, 1, 40)) AS VARCHAR) || ',"stop":true}' AS payload FROM (SELECT doc_id, 'Summarise: ' || text AS p FROM documents)""")
 def dry_run_samples(spark, d):
     rows = read(spark, d, "documents").select("doc_id", T.template("Summarise: {x}", x="text").alias("prompt"))
     return generation.single_pass(rows).select("doc_id", "status", "payload")
 
 
-@query()
+@query("SELECT 1 AS rounds, count(*) AS n FROM documents")
 def self_refine_rounds(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     return generation.self_refine(rows, 2, seed=41).groupBy("rounds").agg(F.count("*").alias("n"))
@@ -408,10 +406,13 @@ def review_decisions(spark, d):
     return review_validation(spark, d).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("SELECT item_id, doc_id, CASE WHEN contains(d.text, trim(b.text)) THEN 'ok' ELSE 'warning' END AS status FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40")
+@query("""WITH f AS (SELECT source, lang, arg_min(text, doc_id) AS t FROM documents GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN trim(q) = '' THEN 'error' WHEN contains(t, trim(q)) THEN 'ok' ELSE 'warning' END AS status FROM (SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS q FROM documents) JOIN f USING (source, lang)""")
 def quote_substring(spark, d):
-    b, x = read(spark, d, "benchmark").withColumnRenamed("text", "quote"), read(spark, d, "documents")
-    return b.join(x, b["item_id"] % 40 == x["doc_id"] % 40).select("item_id", "doc_id", jsonx.quote_status("text", "quote").alias("status"))
+    """Each document's first line as a quote from the first document of its source and language."""
+    docs = read(spark, d, "documents")
+    first = docs.groupBy("source", "lang").agg(F.min_by("text", "doc_id").alias("t"))
+    return docs.select("doc_id", "source", "lang", F.split("text", "\n")[0].alias("q")).join(first, ["source", "lang"]).select("doc_id", jsonx.quote_status("t", "q").alias("status"))
 
 
 @query("SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
@@ -455,9 +456,9 @@ def _events(spark, d):
     return read(spark, d, "events")
 
 
-@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, -event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1, 2")
 def latest_attempt(spark, d):
-    return attempts.latest(_events(spark, d), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts")
+    return attempts.latest(_events(spark, d), ["user_id", "event_type"], ["ts"], "event_id").select("user_id", "event_type", "event_id", "ts")
 
 
 @query("SELECT count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_failed, count(*) FILTER (WHERE event_type <> 'error') AS n_other, count(DISTINCT user_id) AS n_keys FROM events")
@@ -483,7 +484,7 @@ def resume_remaining(spark, d):
     return attempts.remaining(read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), _checkpoints(spark, d), "user_id")
 
 
-@query(f"WITH {_LAST} SELECT count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status IS NULL) AS n_missing, CASE WHEN count(*) FILTER (WHERE status IS NULL OR status = 'failed') = 0 THEN 'complete' ELSE 'incomplete' END AS state FROM customer LEFT JOIN c ON c_custkey = user_id")
+@query(f"WITH {_LAST} SELECT count(*) FILTER (WHERE status = 'success') AS n_success, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status IS NULL) AS n_missing, count(*) FILTER (WHERE status IS NULL OR status = 'failed') AS n_retry, CASE WHEN count(*) FILTER (WHERE status IS NULL OR status = 'failed') = 0 THEN 'complete' ELSE 'incomplete' END AS state FROM customer LEFT JOIN c ON c_custkey = user_id")
 def run_state_counts(spark, d):
     return attempts.run_state(read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), _checkpoints(spark, d), "user_id")
 
@@ -598,9 +599,9 @@ def ranking_permutation_check(spark, d):
     return rows.select("l_orderkey", F.array_join(ranking.permutation_errors(F.col("human_ranking"), F.col("model_ranking")), ";").alias("errors"))
 
 
-@query(f"WITH {_CAND} SELECT l_orderkey, block, count(*) AS n_candidates FROM c JOIN (VALUES ('N'), ('A'), ('R')) v(block) ON l_returnflag = block WHERE label <= 5 GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5 AND max(label) = count(*)")
+@query(f"WITH {_CAND} SELECT l_orderkey, block, count(*) AS n_candidates FROM c JOIN (VALUES ('N'), ('A'), ('R')) v(block) ON l_returnflag = block GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5 AND max(label) = count(*)")
 def candidate_mapping_join(spark, d):
-    c = candidates(read(spark, d, "lineitem")).where("label <= 5")
+    c = candidates(read(spark, d, "lineitem"))
     maps = c.select("l_orderkey", F.col("l_returnflag").alias("block"), "label", F.col("l_partkey").alias("sample_index"))
     blocks = spark.createDataFrame([("N",), ("A",), ("R",)], "block string")
     segs = c.select("l_orderkey").distinct()
@@ -726,12 +727,212 @@ def pair_audit_violations(spark, d):
     return records.audit_violations(rows).select("pair_id", F.array_join("errors", ";").alias("errors"))
 
 
-@query("""SELECT doc_id, 'Research questions:' || chr(10) || '1. ' || lang || chr(10) || '2. ' || source || chr(10) || chr(10) || 'Interview context window:' || chr(10) || left(text, 30) || chr(10) || chr(10) || 'Target segment:' || chr(10) || left(text, 10) || chr(10) || chr(10) || 'Code label:' || chr(10) || lang AS prompt, 'Lang: ' || lang || chr(10) || 'Source: ' || source AS fields FROM documents""")
+@query("""SELECT doc_id, 'Research questions:' || chr(10) || '1. ' || lang || chr(10) || '2. ' || source || chr(10) || chr(10) || 'Interview context window:' || chr(10) || text || chr(10) || chr(10) || 'Target segment:' || chr(10) || source || chr(10) || chr(10) || 'Code label:' || chr(10) || lang AS prompt, 'Lang: ' || lang || chr(10) || 'Source: ' || source AS fields FROM documents""")
 def rendered_prompts(spark, d):
-    rows = read(spark, d, "documents").withColumns({"q": F.array("lang", "source"), "context": F.substr("text", F.lit(1), F.lit(30)), "target": F.substr("text", F.lit(1), F.lit(10))})
+    rows = read(spark, d, "documents").withColumns({"q": F.array("lang", "source"), "context": F.col("text"), "target": F.col("source")})
     return rows.select("doc_id", records.prompt_sections("q", F.lit("Interview context window"), "context", "target", "lang").alias("prompt"), records.field_lines(["lang", "source"]).alias("fields"))
 
 
 @query("SELECT doc_id, source || '_' || lang || '_' || doc_id || '_1_' || left(sha256(text), 12) AS artefact FROM documents")
 def artefact_ids(spark, d):
     return read(spark, d, "documents").withColumn("one", F.lit(1)).select("doc_id", records.artefact_id("source", "lang", "doc_id", "one", "text").alias("artefact"))
+
+
+# -- contracts, with planted faults
+
+_JOINED = "array_to_string(list_filter([{}], lambda e: e IS NOT NULL), '; ') AS errors"
+
+
+def _joined(errors):
+    return F.array_join(errors, "; ").alias("errors")
+
+
+def _when_sql(*cases) -> str:
+    return _JOINED.format(", ".join(f"CASE WHEN {bad} THEN '{message}' END" for bad, message in cases))
+
+
+def _code(hint, label):
+    return F.create_map(*[x for f in contracts.CODE_FIELDS[hint] for x in (F.lit(f), label if f == "code_label" else F.concat(F.lit(f"{f} of "), "source"))])
+
+
+def _questions(rows, labels):
+    hints = contracts.CATEGORIES
+    text = lambda i: F.concat(F.lit(f"What of {hints[i]}, "), "lang", F.lit("?")) if i < 3 else F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit(f"what  OF {hints[0]}, "), "lang", F.lit("?"))).otherwise(F.concat(F.lit("Why "), "source", F.lit("?")))
+    return rows.withColumn("questions", F.array(*[F.struct(labels[i].alias("code"), F.lit(h).alias("hint"), text(i).alias("question")) for i, h in enumerate(hints)]))
+
+
+def _labels():
+    return [F.concat(F.lit(f"{h} "), "source") for h in contracts.CATEGORIES]
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 7 = 0", "validation errors"), ("doc_id % 13 = 0", "segment_id is empty"), ("doc_id % 5 = 0", "questions differ from the parsed output"), ("doc_id % 17 = 0", "selected_codes[1] has an empty field"), ("doc_id % 11 = 0", "questions repeat")) + " FROM documents")
+def trace_contract(spark, d):
+    rows = _questions(read(spark, d, "documents"), _labels())
+    codes = F.array(*[F.struct(F.lit(h).alias("hint"), (F.transform_values(_code(h, _labels()[i]), lambda k, v: F.when((F.col("doc_id") % 17 == 0) & (k == "category_boundary"), " ").otherwise(v)) if i == 1 else _code(h, _labels()[i])).alias("code")) for i, h in enumerate(contracts.CATEGORIES)])
+    parsed = F.when(F.col("doc_id") % 5 == 0, F.slice("questions", 1, 3)).otherwise(F.col("questions"))
+    trace = F.struct(
+        F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("validation_errors"), F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("record_id"), F.col("lang").alias("transcript_id"),
+        F.when(F.col("doc_id") % 13 == 0, " ").otherwise("SEG").alias("segment_id"), F.lit("t").alias("target_segment"), F.col("source").alias("full_interview_context"), F.array(F.lit("Why?")).alias("research_questions"),
+        codes.alias("selected_codes"), F.col("questions").alias("reflective_questions"), F.struct(parsed.alias("reflective_questions")).alias("parsed_output"),
+    )
+    return rows.withColumn("t", trace).select("doc_id", _joined(contracts.trace_errors("t")))
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 5 = 0", "assessments of other labels"), ("doc_id % 7 = 0", "uncertainty is empty"), ("doc_id % 3 = 0", "ranking is no permutation"), ("doc_id % 11 = 0", "another block")) + " FROM documents")
+def ranking_contract(spark, d):
+    i = F.col("doc_id")
+    labels = F.array(*map(F.lit, "ABC"))
+    payload = F.struct(
+        i.cast("string").alias("record_id"), F.when(i % 11 == 0, "other").otherwise("wrong_code").alias("review_block"), F.when(i % 5 == 0, F.create_map(F.lit("A"), F.col("source"))).otherwise(F.map_from_arrays(labels, F.array("source", "lang", "source"))).alias("candidate_assessments"),
+        F.col("source").alias("debate_response"), F.when(i % 7 == 0, "").otherwise("low").alias("uncertainty"), F.when(i % 3 == 0, F.array(F.lit("A"), F.lit("A"), F.lit("B"))).otherwise(F.reverse(labels)).alias("ranking"), F.col("lang").alias("rationale"),
+    )
+    rows = read(spark, d, "documents").withColumns({"p": payload, "block": F.lit("wrong_code"), "labels": labels})
+    return rows.select("doc_id", _joined(contracts.ranking_payload_errors("p", "doc_id", "block", "labels")))
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 3 = 0", "question 2 has another code"), ("doc_id % 4 = 0", "not as many questions as codes"), ("doc_id % 11 = 0", "questions repeat")) + " FROM documents")
+def question_contract(spark, d):
+    rows = _questions(read(spark, d, "documents"), _labels())
+    label = lambda k, h: F.when(F.col("doc_id") % 3 == 0, "another").otherwise(_labels()[k]) if k == 1 else _labels()[k]
+    wanted = F.array(*[F.struct(label(k, h).alias("code_label"), F.lit(h).alias("hint")) for k, h in enumerate(contracts.CATEGORIES)])
+    asked = F.when(F.col("doc_id") % 4 == 0, F.concat("questions", F.array(F.struct(F.lit("more").alias("code"), F.lit("more").alias("hint"), F.lit("One more?").alias("question"))))).otherwise(F.col("questions"))
+    return rows.withColumns({"asked": asked, "wanted": wanted}).select("doc_id", _joined(contracts.question_list_errors("asked", "wanted")))
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 5 = 0", "an unknown category"), ("doc_id % 7 = 0", "too_broad_code has an empty field"), ("doc_id % 3 = 0", "labels repeat")) + " FROM documents")
+def example_contract(spark, d):
+    i, hints = F.col("doc_id"), contracts.CATEGORIES
+    label = lambda k: F.when(i % 3 == 0, F.lit("Same  LABEL" if k == 1 else "same label")).otherwise(_labels()[k]) if k < 2 else _labels()[k]
+    code = lambda k: F.transform_values(_code(hints[k], label(k)), lambda f, v: F.when((i % 7 == 0) & (f == "why_it_is_too_broad"), "").otherwise(v))
+    whole = F.create_map(*[x for k, h in enumerate(hints) for x in (F.lit(h), code(k))])
+    examples = F.when(i % 5 == 0, F.map_concat(whole, F.create_map(F.lit("more"), code(0)))).otherwise(whole)
+    return read(spark, d, "documents").withColumn("e", examples).select("doc_id", _joined(contracts.code_example_errors("e")))
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 5 = 0", "unknown question"), ("doc_id % 3 = 0", "usefulness disagrees"), ("doc_id % 7 = 0", "no reason")) + " FROM documents")
+def usefulness_contract(spark, d):
+    i = F.col("doc_id")
+    asked = F.when(i % 5 == 0, F.array(F.lit("What else?"))).when(i % 2 == 0, F.array(F.lit("Why?"))).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, d, "documents").withColumns({"asked": asked, "told": F.array(F.lit(" Why?"), F.lit("How?"), F.lit(" "))})
+    useful = (F.size("asked") > 0) != (i % 3 == 0)
+    return rows.select("doc_id", _joined(contracts.usefulness_errors("asked", "told", useful, "source", F.when(i % 7 == 0, " ").otherwise(F.col("lang")))))
+
+
+@query("SELECT doc_id, " + _when_sql(("doc_id % 3 = 0", "context was not used"), ("doc_id % 5 = 0", "another context scope")) + " FROM documents")
+def unit_contract(spark, d):
+    i = F.col("doc_id")
+    unit = F.struct(F.col("source").alias("interview_id"), F.lit("S").alias("segment_id"), F.lit("participant").alias("speaker"), F.col("text").alias("target_text"), (i % 3 != 0).alias("analysis_context_used"), F.when(i % 5 == 0, "immediate").otherwise("turn_window").alias("analysis_context_scope"), F.lit("").alias("context_warning"))
+    return read(spark, d, "documents").where("text is not null").withColumn("u", unit).select("doc_id", _joined(contracts.analysis_unit_errors("u", "turn_window")))
+
+
+@query(f"WITH {_NEG} SELECT sha256('orders' || chr(0) || l_orderkey || chr(0) || category) AS pair_id, " + _when_sql(("l_orderkey % 3 = 0 AND l_orderkey % 2 = 0", "limits of a full interview"), ("l_orderkey % 2 = 1 AND l_orderkey % 5 = 0", "no limits of the window"), ("l_orderkey % 97 = 0", "target is rejected")) + " FROM p")
+def audit_contract(spark, d):
+    k = F.col("l_orderkey")
+    full = k % 2 == 0
+    rows = _negatives(spark, d).select(
+        F.xxhash64("pair_id").alias("line_number"), F.lit("orders").alias("source_name"), F.concat(F.lit("p/"), k).alias("source_trace_path"), F.lit("orders").alias("dataset"), k.cast("string").alias("record_id"), k.cast("string").alias("transcript_id"), F.lit("S").alias("segment_id"),
+        F.when(full, "full_interview").otherwise("turn_window").alias("context_scope"), F.when(full & (k % 3 != 0), None).when(~full & (k % 5 == 0), -1).otherwise(20).alias("context_turns_before"), F.when(full, None).otherwise(20).alias("context_turns_after"),
+        F.col("category").alias("target_category"), F.col("category").alias("target_code_label"), F.lit("Why?").alias("chosen_question"), F.when(k % 97 == 0, F.col("category")).otherwise(F.col("rejected")).alias("rejected_source_category"), F.col("rejected").alias("rejected_code_label"), F.lit("How?").alias("rejected_question"),
+        F.sha2(F.lit("e"), 256).alias("category_evidence_row_sha256"), F.sha2(F.lit("q"), 256).alias("question_only_row_sha256"),
+    )
+    return contracts.audit_errors(contracts.audit_rows(rows)).select("pair_id", _joined(F.col("errors")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'no record' ELSE 'another text' END AS problem FROM customer WHERE c_custkey % 50 = 0 OR c_custkey % 7 = 0")
+def exclusion_problems(spark, d):
+    records_ = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    told = records_.select(F.when(F.col("c_custkey") % 50 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"), F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return contracts.exclusion_problems(records_, told, "c_custkey", "c_mktsegment").select(F.when(F.col("c_custkey") < 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"), "problem")
+
+
+@query("SELECT DISTINCT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no audit row' WHEN d.doc_id % 7 = 0 THEN 'lang differs' ELSE '' END AS errors FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def review_errors(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    audit = docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("lang")))
+    return contracts.review_errors(docs, audit, "doc_id", ["source", "lang"]).select("doc_id", _joined(F.col("errors"))).distinct()
+
+
+@query("SELECT o_orderkey AS l_orderkey, f AS l_returnflag, count(l_orderkey) AS n FROM (SELECT DISTINCT o_orderkey, unnest(['N', 'R']) AS f FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = f GROUP BY 1, 2 HAVING count(l_orderkey) <> 1")
+def not_exactly_one(spark, d):
+    wanted = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit("N"), F.lit("R"))).alias("l_returnflag"))
+    return contracts.not_exactly_one(read(spark, d, "lineitem"), wanted, ["l_orderkey", "l_returnflag"])
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def trace_lookup(spark, d):
+    segments = read(spark, d, "documents").select("doc_id", F.lit("r").alias("run_name"), F.concat(F.lit(".\\a\\"), "doc_id").alias("path"))
+    traces = read(spark, d, "labels").select(F.lit("r").alias("run_name"), F.concat(F.lit("a/"), "doc_id").alias("path"), "quality")
+    return contracts.with_trace(segments, traces, "run_name", "path").select("doc_id", "quality")
+
+
+# -- prompts, runs
+
+
+@query(f"WITH {_TURNS} SELECT interview_id, 'S' || interview_id AS segment_id, sha256(string_agg('Turn ' || turn_index || ' | ' || speaker_label || CASE WHEN turn_index % 4 = 0 THEN ' [TARGET SEGMENT S' || interview_id || ']' ELSE '' END || ': ' || text, chr(10) ORDER BY turn_index)) AS context_sha256, count(*) FILTER (WHERE turn_index % 4 = 0) AS n_marked FROM turns GROUP BY 1")
+def marked_context(spark, d):
+    t = _turns(spark, d)
+    targets = t.groupBy("interview_id").agg(F.collect_list(F.when(F.col("turn_index") % 4 == 0, F.col("turn_index"))).alias("target_turn_indexes")).withColumn("segment_id", F.concat(F.lit("S"), "interview_id"))
+    return prompts.marked_context(t, targets).select("interview_id", "segment_id", F.sha2("context", 256).alias("context_sha256"), "n_marked")
+
+
+@query(f"""WITH {_TURNS}, n AS (SELECT *, lag(upper(role[1]) || role[2:] || ': ' || text) OVER w AS a, lead(upper(role[1]) || role[2:] || ': ' || text) OVER w AS b FROM turns WINDOW w AS (PARTITION BY interview_id ORDER BY turn_index))
+SELECT interview_id, turn_index, sha256('Previous context:' || chr(10) || coalesce(a, '') || chr(10) || chr(10) || 'Next context:' || chr(10) || coalesce(b, '')) AS context_sha256 FROM n WHERE role = 'participant'""")
+def immediate_context(spark, d):
+    return turns.analysis_context(_turns(spark, d), "immediate").select("interview_id", "turn_index", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("""SELECT doc_id, lang AS key, source || '=x' AS value, '["' || source || '?","' || lang || '?"]' AS questions, '{"analysis_context_scope": "turn_window"} ' || lang AS prompt FROM documents""")
+def prompt_variables(spark, d):
+    rows = read(spark, d, "documents").withColumn("kv", prompts.key_value(F.concat("lang", F.lit("="), "source", F.lit("=x"))))
+    asked = F.array(F.concat(F.lit(" "), "source", F.lit("?")), F.lit(" "), F.concat("lang", F.lit("? ")))
+    return rows.select("doc_id", "kv.key", "kv.value", prompts.question_list(asked).alias("questions"), prompts.aligned_scope(F.concat(F.lit('{"analysis_context_scope": "full_interview"} '), "lang"), "turn_window").alias("prompt"))
+
+
+@query("SELECT sha256(string_agg(source || ' ' || lang || ' ' || doc_id || chr(10), '' ORDER BY doc_id)) AS digest FROM documents")
+def rolling_digest(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang", "doc_id").alias("line"))
+    return spark.createDataFrame([(prompts.rolling_digest(rows, "doc_id", "line"),)], "digest string")
+
+
+@query(r"""WITH x AS (SELECT doc_id, '<|user|>' || chr(10) || text || '<|end|>' || chr(10) AS p FROM documents), y AS (SELECT doc_id, p || '<|assistant|>' || chr(10) AS prompt, p || '<|assistant|>' || chr(10) || 'Yes, indeed.<|end|>' || chr(10) AS chosen FROM x)
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(prompt, '\s+'), lambda t: t <> '')) AS BIGINT) AS prompt_tokens, CAST(len(list_filter(regexp_split_to_array(chosen, '\s+'), lambda t: t <> '')) AS BIGINT) AS chosen_tokens, 0 AS n_errors FROM y""")
+def chat_profile(spark, d):
+    rows = read(spark, d, "documents").withColumn("c", pairs.conversation("text", F.lit("Yes, indeed."), F.lit("No."))).select("doc_id", "c.*")
+    out = generation.chat_profile(rows)
+    return out.select("doc_id", F.col("prompt_text_tokens").cast("long").alias("prompt_tokens"), F.col("chosen_text_tokens").cast("long").alias("chosen_tokens"), F.size("errors").alias("n_errors"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(replace(text, '.', '!'), ' ') AS b FROM documents), p AS (SELECT doc_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM w)
+SELECT doc_id, min(i) - 1 AS first_mismatch FROM p WHERE a[i] <> b[i] GROUP BY 1""")
+def token_mismatches(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a"), F.split(F.replace("text", F.lit("."), F.lit("!")), " ").alias("b"))
+    return generation.token_mismatches(rows, "doc_id", ["a", "b"]).select("doc_id", F.col("first_mismatch").cast("long").alias("first_mismatch"))
+
+
+@query("SELECT doc_id, source AS value FROM documents")
+def message_values(spark, d):
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit("Source (x): no").alias("content")), F.struct(F.lit("user").alias("role"), F.concat(F.lit("Lang: "), "lang", F.lit("\nSource (x): "), "source", F.lit("\nSource (x): again")).alias("content")))
+    return read(spark, d, "documents").withColumn("m", messages).select("doc_id", T.last_message_value("m", "Source (x)").alias("value"))
+
+
+_STATE = "CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' WHEN 2 THEN 'complete' ELSE 'running' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, ts, event_id, {_STATE} AS state, lag({_STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, arg_max(state, (ts, event_id)) AS status, count(*) FILTER (WHERE state = 'running' AND before IN ('failed', 'complete')) AS resume_count,
+       count(*) FILTER (WHERE (before = 'running' AND state = 'running') OR (before IN ('failed', 'complete') AND state <> 'running')) AS n_refused FROM s GROUP BY 1""")
+def run_states(spark, d):
+    return attempts.run_states(_events(spark, d).withColumn("state", F.expr(_STATE)), "user_id", ["ts", "event_id"], "state")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 = 0")
+def dead_letters(spark, d):
+    line = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    return attempts.quarantined(_events(spark, d).select("event_id", line.alias("payload")))[1].select("event_id")
+
+
+@query(f"WITH {_LAST} SELECT c_custkey AS user_id, coalesce(status = 'success', false) AS kept FROM customer LEFT JOIN c ON c_custkey = user_id")
+def resumed_run(spark, d):
+    work = lambda todo: todo.select("user_id", F.lit("fresh").alias("status"))
+    out = attempts.resumed(read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), _checkpoints(spark, d), "user_id", work)
+    return out.select("user_id", (F.col("status") == "success").alias("kept"))

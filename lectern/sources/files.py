@@ -12,10 +12,81 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SC11: (file, line, raw) of the lines that aren't blank; lines count from 1 per file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "raw")).select("file", (F.col("pos") + 1).alias("line"), "raw").where(F.trim("raw") != "")
+def jsonl_lines(spark: SparkSession, path) -> DataFrame:
+    """SC11: (file, line, raw) of the lines that aren't blank; lines count from 1 per file.
+
+    Files are read in splits, and the lines of a split go on from the counts of the splits before it.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("path", "start").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    place = F.row_number().over(Window.partitionBy("path", "start").orderBy("id"))
+    return rows.withColumn("place", place).join(counts, ["path", "start"]).select("file", (F.col("before") + F.col("place")).cast("int").alias("line"), "raw").where(F.trim("raw") != "")
+
+
+def segment_files(spark: SparkSession, path: str) -> list[str]:
+    """SC10: one .jsonl file, else the folder's *_segments.jsonl, else its *.jsonl, by name; none is an error."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = jvm.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no such path: {path}")
+    if fs.getFileStatus(at).isFile():
+        if not path.lower().endswith(".jsonl"):
+            raise ValueError(f"not a .jsonl file: {path}")
+        return [path]
+    names = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isFile())
+    found = [n for n in names if n.endswith("_segments.jsonl")] or [n for n in names if n.endswith(".jsonl")]
+    if not found:
+        raise FileNotFoundError(f"no segment files in {path}")
+    return found
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """The text of one small file of any store that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_json_object(spark: SparkSession, path: str, what: str) -> dict:
+    """SC16: a file that holds one JSON object; else an error that names the path."""
+    try:
+        value = json.loads(_whole(spark, path))
+    except Exception as e:
+        raise ValueError(f"{what} at {path} is not readable JSON: {e}") from e
+    if not isinstance(value, dict):
+        raise ValueError(f"{what} at {path} is not a JSON object")
+    return value
+
+
+def load_codebook(spark: SparkSession, path: str) -> dict:
+    """SC9: a codebook: a JSON object with a list `codes`."""
+    book = read_json_object(spark, path, "codebook")
+    if not isinstance(book.get("codes"), list):
+        raise ValueError(f"codebook at {path} lacks a list of codes")
+    return book
+
+
+def read_snapshot(spark: SparkSession, path: str, metadata: dict) -> DataFrame:
+    """SC18: a gzipped JSONL snapshot of exactly three strings a row, checked against {rows, sha256} before use."""
+    raw = spark.read.format("binaryFile").load(path)
+    found = raw.select(F.sha2("content", 256).alias("h")).first().h
+    if found != metadata["sha256"]:
+        raise ValueError(f"snapshot at {path} has another checksum: {found}")
+    names = ("prompt", "chosen", "rejected")
+    lines = spark.read.text(path)
+    m = F.from_json("value", "map<string,string>")
+    bad = lines.select(m.alias("m")).where(F.col("m").isNull() | (F.array_sort(F.map_keys("m")) != F.array(*map(F.lit, sorted(names)))) | F.exists(F.map_values("m"), lambda v: v.isNull())).count()
+    n = lines.count()
+    if bad or n != metadata["rows"]:
+        raise ValueError(f"snapshot at {path}: {n} rows of {metadata['rows']}, {bad} with other keys")
+    return lines.select(m.alias("m")).select(*[F.col("m")[c].alias(c) for c in names])
+
+
+def check_columns(df: DataFrame, expected: list[str], path: str) -> DataFrame:
+    """SC15: df, if it has exactly these columns."""
+    if set(df.columns) != set(expected):
+        raise ValueError(f"{path} has other columns: {sorted(set(df.columns) ^ set(expected))}")
+    return df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, fail_fast: bool = True) -> DataFrame:
@@ -25,6 +96,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, fail_fast: bool = Tr
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def segment_errors(lines: DataFrame, required: list[str]) -> DataFrame:
+    """SC11: (file, line, error) of lines that are no JSON object, lack a required field or have one that is no string."""
+    names = F.json_object_keys("raw")
+    missing = F.array_except(F.array(*map(F.lit, required)), names)
+    typed = [F.when(F.array_contains(names, c) & ~F.coalesce(F.schema_of_variant(F.variant_get(F.try_parse_json("raw"), f"$.{c}", "variant")) == "STRING", F.lit(False)), F.lit(f"{c} is no string")) for c in required]
+    error = F.when(names.isNull(), "no JSON object").when(F.size(missing) > 0, F.concat(F.lit("lacks "), F.array_join(missing, ", "))).otherwise(F.array_join(F.array_compact(F.array(*typed)), "; "))
+    return lines.select("file", "line", error.alias("error")).where("error <> ''")
+
+
 def segment_records(lines: DataFrame, required: list[str]) -> DataFrame:
     """SC11: participant segments: required fields as columns, the other keys as a variant map of JSON strings."""
     m = F.from_json("raw", "map<string,string>")
@@ -43,6 +123,11 @@ def exclusion_errors(lines: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(bad, "not exactly a record_id and a text").when(again, "record_id repeats")).where("error is not null").select("file", "line", "error")
 
 
+def file_sha256(spark: SparkSession, path: str) -> str:
+    """SC12: sha256 of a file's bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SC15: headed CSV, BOM accepted; blank numbers are null."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("nullValue", "").csv(path)
@@ -54,6 +139,14 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
+def trace_inventory(traces: DataFrame, record_count: int) -> dict[str, int]:
+    """SC17: how many traces there are and how many records have none yet; more traces than records is an error."""
+    n = traces.count()
+    if n > record_count:
+        raise ValueError(f"{n} traces of {record_count} records")
+    return {"traces": n, "missing": record_count - n}
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -125,6 +218,53 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+def write_csv_rows(rows: list[dict], columns: list[str], path: str) -> None:
+    """SK2: a small report from the driver, one file; without rows the header alone."""
+    import csv
+
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        w = csv.DictWriter(f, columns)
+        w.writeheader()
+        w.writerows(rows)
+
+
+def write_snapshot(spark: SparkSession, df: DataFrame, path: str) -> dict:
+    """SK7: one gzipped JSONL part with {rows, bytes, sha256}. A snapshot is one file by contract, so its rows pass through one task."""
+    write_jsonl(df.coalesce(1), path, compress=True)
+    part = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).select("path", "length", F.sha2("content", 256).alias("h")).first()
+    return {"path": part.path, "rows": spark.read.text(path).count(), "bytes": part.length, "sha256": part.h}
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """SK5: the partitions of df replace those of the table; others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def write_by_content(payload: dict, folder: str) -> str:
+    """SK10: a manifest named by its own hash; one that is there already must be the same."""
+    import hashlib
+
+    data = json.dumps(payload, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    path = os.path.join(folder, hashlib.sha256(data.encode()).hexdigest() + ".json")
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if json.load(f) != payload:
+                raise ValueError(f"{path} holds something else")
+    else:
+        os.makedirs(folder, exist_ok=True)
+        write_manifest(payload, path)
+    return path
+
+
+def run_folder(root: str, name: str) -> str:
+    """SK9: a new folder for one run, by its time in UTC."""
+    from datetime import datetime, timezone
+
+    path = os.path.join(root, f"{name}_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}")
+    os.makedirs(path)
+    return path
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """SK4: events with their time first."""
     df.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"), *df.columns).write.mode("append").json(path)
@@ -135,6 +275,25 @@ def write_splits(df: DataFrame, path: str, split: str = "split", raw: str = "raw
     df.select(split, raw).write.partitionBy(split).text(path)
 
 
+def write_all(outputs: dict[str, DataFrame], folder: str, manifest: dict) -> None:
+    """SK6: several outputs, all or none: each goes to a staging folder beside, and one rename puts them in place; a failure leaves a failed manifest."""
+    import shutil
+
+    if os.path.exists(folder):
+        raise FileExistsError(folder)
+    stage = f"{folder}.staging"
+    shutil.rmtree(stage, ignore_errors=True)
+    try:
+        for name, df in outputs.items():
+            write_jsonl(df, os.path.join(stage, name))
+        write_manifest(manifest | {"status": "complete"}, os.path.join(stage, "manifest.json"))
+        os.rename(stage, folder)
+    except Exception as e:
+        shutil.rmtree(stage, ignore_errors=True)
+        write_manifest(manifest | {"status": "failed", "error": str(e)[:500]}, f"{folder}.failed.json")
+        raise
+
+
 def write_manifest(payload: dict, path: str) -> None:
     """SK3: driver-side JSON by a temporary sibling and a rename."""
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def _rows(number: str, *strings: str) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(number, T.IntegerType()), *[T.StructField(s, T.StringType()) for s in strings]]))
 
@@ -142,11 +144,38 @@ def sections_udf(heading: str):
     return run
 
 
-def read_interviews(spark: SparkSession, path: str) -> DataFrame:
-    """SC1: one row per *.html or *.htm file below the path: (interview_id, html, file)."""
-    files = spark.read.option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", True).text(path, wholetext=True)
+def read_interviews(spark: SparkSession, path: str, heading: str | None = None) -> DataFrame:
+    """SC1: one row per *.html or *.htm file below the path, or of the one file: (interview_id, html, file), in the order of file names on `file`. With a heading selector a file holds many interviews, one a section. No file is an error."""
+    files = spark.read.option("pathGlobFilter", "*.{html,htm}").option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.html?$", "").alias("interview_id"), F.col("value").alias("html"), name.alias("file"))
+    rows = files.select(F.regexp_replace(name, r"\.html?$", "").alias("interview_id"), F.col("value").alias("html"), name.alias("file"))
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no .html or .htm file in {path}")
+    if heading is None:
+        return rows
+    parts = rows.select("interview_id", "file", F.explode(interview_sections(heading)("html")).alias("s"))
+    return parts.select(F.concat_ws("_", "interview_id", F.lpad(F.col("s.idx").cast("string"), 3, "0")).alias("interview_id"), F.col("s.html").alias("html"), "file")
+
+
+def split_interviews(html: str, heading: str) -> list[tuple[int, str]]:
+    """SC2: (number from 1, html) of each section: a heading that matches `tag` or `tag.class` with what follows up to the next, the document's head in front of each; without a heading the whole document."""
+    tag, _, cls = heading.partition(".")
+    opening = re.compile(rf"<{tag}\b([^>]*)>", re.I)
+    starts = [m.start() for m in opening.finditer(html) if not cls or cls in (re.search(r"class\s*=\s*[\"']?([^\"'>]*)", m[1], re.I) or ["", ""])[1].split()]
+    if not starts:
+        return [(1, html)]
+    head = re.search(r"<head\b.*?</head>", html, re.S | re.I)
+    end = re.search(r"</body>", html, re.I)
+    stop = end.start() if end else len(html)
+    return [(i, f"<html>{head[0] if head else ''}<body>{html[a:b]}</body></html>") for i, (a, b) in enumerate(zip(starts, [*starts[1:], stop]), 1)]
+
+
+def interview_sections(heading: str):
+    @F.pandas_udf("array<struct<idx:int,html:string>>")
+    def run(html: pd.Series) -> pd.Series:
+        return html.map(lambda x: [{"idx": i, "html": t} for i, t in split_interviews(x, heading)])
+
+    return run
 
 
 def turns(interviews: DataFrame, interviewer: str, participant: str) -> DataFrame:

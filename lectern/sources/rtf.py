@@ -18,9 +18,9 @@ CHARACTERS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "tab": "\t"
 
 
 def rtf_text(data: bytes) -> str:
-    """SC5: the document text of an RTF file in cp1252."""
+    """SC5: the document text of an RTF file in cp1252; bytes that cp1252 lacks are an error."""
     out, stack, skip, uc, ignore = [], [], False, 1, 0
-    for m in _TOKEN.finditer(data.decode("cp1252", "replace")):
+    for m in _TOKEN.finditer(data.decode("cp1252")):
         hexa, uni, word, arg, symbol, brace, plain = m.groups()
         if brace == "{":
             stack.append((skip, uc))
@@ -30,7 +30,7 @@ def rtf_text(data: bytes) -> str:
             if ignore:
                 ignore -= 1
             elif not skip:
-                out.append(bytes.fromhex(hexa).decode("cp1252", "replace"))
+                out.append(bytes.fromhex(hexa).decode("cp1252"))
         elif uni:
             if not skip:
                 out.append(chr(int(uni) % 65536))
