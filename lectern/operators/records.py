@@ -96,10 +96,11 @@ def migrated(old: DataFrame, current: DataFrame, key: str, label: str) -> DataFr
 
 
 def first_mismatch(a, b) -> Column:
-    """M6: first place from 0 at which two sequences differ; null if they are equal."""
+    """M6: first place from 0 at which two sequences differ; null if they are equal. The sequences are walked once, side by side."""
     n = F.least(F.size(a), F.size(b))
-    at = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))), True) - 1
-    return F.when((at >= 0) & (n > 0), at).when(F.size(a) != F.size(b), n.cast("long"))
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True) - 1
+    apart = F.size(a) != F.size(b)
+    return F.when(at >= 0, F.when(apart, F.least(at, n.cast("long"))).otherwise(at)).when(apart, n.cast("long"))
 
 
 def latest_checkpoint(paths: DataFrame, path: str = "path", pattern: str = r"checkpoint-(\d+)$") -> DataFrame:
