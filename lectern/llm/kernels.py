@@ -22,6 +22,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 CHUNK = 1 << 20
 BLOCK = 64  # bytes that one row of values each covers
+GROUP = 1 << 13  # blocks that are hashed at once
 TABLE = _rng.integers(0, 2**64, (BLOCK, 256), dtype=np.uint64)
 LOWER_TABLE = TABLE.copy()
 LOWER_TABLE[:, 65:91] = TABLE[:, 97:123]
@@ -115,12 +116,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     begin = np.repeat(starts, blocks) + number * BLOCK
     length = np.minimum(BLOCK, np.repeat(ends, blocks) - begin)
     values, sums = table.ravel(), np.empty(len(begin), dtype=np.uint64)
-    for a in range(0, len(begin), 1 << 15):
-        n = length[a : a + (1 << 15)]
+    for a in range(0, len(begin), GROUP):
+        n = length[a : a + GROUP]
         at = np.cumsum(n) - n
         place = np.arange(n.sum()) - np.repeat(at, n)
-        byte = buf[place + np.repeat(begin[a : a + (1 << 15)], n)]
-        sums[a : a + (1 << 15)] = np.add.reduceat(values[place << 8 | byte], at)
+        byte = buf[place + np.repeat(begin[a : a + GROUP], n)]
+        sums[a : a + GROUP] = np.add.reduceat(values[place << 8 | byte], at)
     out, some = np.zeros(len(starts), dtype=np.uint64), size > 0
     with np.errstate(over="ignore"):
         if len(sums):
@@ -136,7 +137,7 @@ def _same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     rows = np.flatnonzero(other != np.arange(len(other)))
     total, a = np.cumsum(size[rows]), 0
     while a < len(rows):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK, side="right")))
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK // 4, side="right")))
         r = rows[a:b]
         n = size[r]
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -120,11 +120,9 @@ class Transducer:
         self.edge_to = np.array([edges[k] for k in self.edge_keys.tolist()], dtype=np.int32)
         self.final = np.full(len(nodes), -1, dtype=np.int32)
         self.final[list(final)] = list(final.values())
-        joined = np.zeros(n * n, dtype=np.uint8)
-        for p in ids:
-            for a, b in zip(p, p[1:]):
-                joined[number[a] * n + number[b]] = 1
-        self.joined = np.packbits(joined, bitorder="little")
+        pairs = np.unique(np.array([number[a] * n + number[b] for p in ids for a, b in zip(p, p[1:])], dtype=np.int64))
+        self.joined = np.zeros(n * n // 8 + 1, dtype=np.uint8)
+        np.bitwise_or.at(self.joined, pairs >> 3, (1 << (pairs & 7)).astype(np.uint8))
         self.bytes_id = np.full(256, model["unk"], dtype=np.int32)
         fallback = False
         for i, (p, k) in enumerate(zip(pieces, kinds)):
