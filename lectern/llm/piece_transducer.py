@@ -31,7 +31,8 @@ from .common import arrow_rows, others, own, table, tidy, widened
 from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
-MEMORY = 1 << 18  # segments that a task remembers
+MEMORY = 1 << 17  # segments and verdicts that a task remembers
+PART = 1 << 18  # bytes of text that are composed at once, one text at least
 SLOTS = 1 << 20  # of the neighbour table
 LONG = 200  # characters of a segment above which its path is found alone
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -281,7 +282,7 @@ class Encoder:
                     key = before * m + piece
                     ok = verdicts.get(key)
                     if ok is None:
-                        if len(verdicts) > SLOTS:
+                        if len(verdicts) > MEMORY:
                             verdicts.clear()
                         ok = verdicts[key] = self._follows(before, piece)
                     if not ok:
@@ -309,7 +310,7 @@ class Encoder:
         known = known[length[known] <= LONG]
         for n in np.unique(length[known]):
             group = known[length[known] == n]
-            most = max(1, (1 << 20) // int(n))
+            most = max(1, PART // int(n))
             for k in range(0, len(group), most):
                 part = group[k : k + most]
                 states, sizes = self._paths(cid[starts[part][:, None] + np.arange(n)].astype(np.int64))
@@ -384,7 +385,7 @@ def sentencepiece(docs: DataFrame, model: bytes, text_col: str = "text", ids_col
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             ids, offs, decoded = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], []
-            for first, end, _, _ in chunks(column):
+            for first, end, _, _ in chunks(column, PART):
                 got, counts = encoder.encode([x or "" for x in column.slice(first, end - first).to_pylist()])
                 ids.append(got)
                 offs.append(np.cumsum(counts) + offs[-1][-1])
