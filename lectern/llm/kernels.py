@@ -20,7 +20,7 @@ LOWER_VALUE = BYTE_VALUE.copy()
 LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 BLOCK = 64  # bytes that one row of values each covers
 GROUP = 1 << 13  # blocks that are hashed at once
 TABLE = _rng.integers(0, 2**64, (BLOCK, 256), dtype=np.uint64)

@@ -32,7 +32,8 @@ from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
 MEMORY = 1 << 17  # segments and verdicts that a task remembers
-PART = 1 << 18  # bytes of text that are composed at once, one text at least
+PART = 1 << 19  # bytes of text that are taken at once, one text at least
+PATHS = 1 << 18  # characters of segments whose paths are found at once
 SLOTS = 1 << 20  # of the neighbour table
 LONG = 200  # characters of a segment above which its path is found alone
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -310,7 +311,7 @@ class Encoder:
         known = known[length[known] <= LONG]
         for n in np.unique(length[known]):
             group = known[length[known] == n]
-            most = max(1, PART // int(n))
+            most = max(1, PATHS // int(n))
             for k in range(0, len(group), most):
                 part = group[k : k + most]
                 states, sizes = self._paths(cid[starts[part][:, None] + np.arange(n)].astype(np.int64))
