@@ -14,7 +14,8 @@ it may follow and infinity after any other. One path of weight 0 is left, and it
 last piece at each position, so the shortest path is a single forward pass.
 
 No arc spans two characters that stand side by side in no piece. Inputs are cut there,
-and equal segments of a task, by their characters, share one composition.
+and equal segments of a task, by their characters, share one composition. Segments that
+are new are gathered over a batch and composed together, by length.
 
 Defined results: null and empty texts have no tokens and decode to the empty text (null
 stays null); a U+2581 in a text decodes to a space, as in the library.
@@ -22,6 +23,8 @@ stays null); a U+2581 in a text decodes to a space, as in the library.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +34,9 @@ from .common import arrow_rows, others, own, table, tidy, widened
 from .kernels import U64, chunks, distinct_spans, mix
 
 SPACE = 0x2581
-MEMORY = 1 << 17  # segments and verdicts that a task remembers
-PART = 1 << 19  # bytes of text that are taken at once, one text at least
+MEMORY = 1 << 18  # segments, and verdicts of long segments, that a task remembers from batch to batch
+PART = 1 << 19  # bytes of text that are cut at once, one text at least
+WAITING = 1 << 21  # characters of new segments that wait before their paths are found
 PATHS = 1 << 18  # characters of segments whose paths are found at once
 SLOTS = 1 << 20  # of the neighbour table
 LONG = 200  # characters of a segment above which its path is found alone
@@ -149,8 +153,9 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known: dict[bytes, int] = {}  # segment -> its row in place and size
+        self.known: dict[str, int] = {}  # segment -> its row in place and size
         self.place, self.size, self.store = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.waiting, self.wait = [], 0  # segments without a path yet, the last rows
 
     # -- the acceptor of neighbours
     def _judge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -296,18 +301,25 @@ class Encoder:
         return np.array(out[::-1], dtype=np.int64)
 
     def _solve(self, cid: np.ndarray, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Ids of each segment, one after the other, and their counts."""
+        """Ids of all segments, by length; where each segment's begin, and their counts."""
         t = self.t
-        length = ends - starts
-        counts, found = np.zeros(len(starts), dtype=np.int64), [None] * len(starts)
+        length, out, at = ends - starts, [], 0
+        place, counts = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+
+        def put(part, ids, sizes):
+            nonlocal at
+            place[part], counts[part] = at + np.cumsum(sizes) - sizes, sizes
+            out.append(ids)
+            at += len(ids)
+
         unknown = cid[starts] == 0
         for i in np.flatnonzero(unknown):
             ids = t.bytes_id[np.frombuffer("".join(map(chr, cps[starts[i] : ends[i]])).encode("utf-8"), dtype=np.uint8)] if t.fallback else np.array([t.unk], dtype=np.int32)
-            found[i], counts[i] = ids, len(ids)
+            put([i], ids, len(ids))
         known = np.flatnonzero(~unknown)
         for i in known[length[known] > LONG]:
-            found[i] = t.ids[self._long_path(cid[starts[i] : ends[i]].tolist())]
-            counts[i] = len(found[i])
+            ids = t.ids[self._long_path(cid[starts[i] : ends[i]].tolist())]
+            put([i], ids, len(ids))
         known = known[length[known] <= LONG]
         for n in np.unique(length[known]):
             group = known[length[known] == n]
@@ -315,20 +327,16 @@ class Encoder:
             for k in range(0, len(group), most):
                 part = group[k : k + most]
                 states, sizes = self._paths(cid[starts[part][:, None] + np.arange(n)].astype(np.int64))
-                ids = t.ids[states]
-                for i, x in zip(part, np.split(ids, np.cumsum(sizes)[:-1])):
-                    found[i] = x
-                counts[part] = sizes
-        return found, counts
+                put(part, t.ids[states], sizes)
+        return out, place, counts
 
-    def encode(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the count of each."""
+    def look(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the segments of all texts, one text after the other, and how many each text has; new segments wait for `settle`."""
         t = self.t
-        none = np.zeros(0, dtype=np.int32)
         lengths = np.array([len(x) + (1 if x and t.prefix else 0) for x in text], dtype=np.int64)
-        whole = "".join("▁" + x if x and t.prefix else x for x in text)
+        whole = "".join(" " + x if x and t.prefix else x for x in text)
         if not whole:
-            return none, np.zeros(len(text), dtype=np.int64)
+            return np.zeros(0, dtype=np.int32), np.zeros(len(text), dtype=np.int64)
         cps = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32).copy()
         cps[cps == 0x20] = SPACE
         at = np.minimum(np.searchsorted(t.chars, cps), len(t.chars) - 1)
@@ -341,23 +349,49 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(cps))
         row = np.searchsorted(offs, starts, side="right") - 1
-        raw = cps.view(np.uint8)
-        first, number = distinct_spans(raw, starts * 4, ends * 4)
-        held = raw.tobytes()
-        parts = [held[4 * x : 4 * y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) + len(parts) > MEMORY:
-            self.forget()
-        new = np.array([i for i, x in enumerate(parts) if x not in self.known], dtype=np.int64)
-        if len(new):
-            found, counts = self._solve(cid, cps, starts[first[new]], ends[first[new]])
-            place = len(self.store) + np.cumsum(counts) - counts
-            self.known.update(zip([parts[i] for i in new], range(len(self.place), len(self.place) + len(new))))
-            self.store = np.concatenate((self.store, *found))
-            self.place, self.size = np.concatenate((self.place, place)), np.concatenate((self.size, counts))
-        at = np.array([self.known[x] for x in parts], dtype=np.int64)[number]
-        place, size = self.place[at], self.size[at]
+        first, number = distinct_spans(cps.view(np.uint8), starts * 4, ends * 4)
+        parts = [whole[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [i for i, x in enumerate(parts) if x not in self.known]
+        if new:
+            self.known.update(zip([parts[i] for i in new], range(len(self.known), len(self.known) + len(new))))
+            a, n = starts[first[new]], (ends - starts)[first[new]]
+            index = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.waiting.append((cid[index].astype(np.int32), cps[index], n))
+            self.wait += len(index)
+            if self.wait > WAITING:
+                self.settle()
+        return np.array([self.known[x] for x in parts], dtype=np.int32)[number], np.bincount(row, minlength=len(text))
+
+    def settle(self) -> None:
+        """Finds the paths of the segments that wait."""
+        if not self.waiting:
+            return
+        cid, cps, length = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.wait = [], 0
+        ends = np.cumsum(length)
+        found, place, counts = self._solve(cid, cps, ends - length, ends)
+        self.place, self.size = np.concatenate((self.place, place + len(self.store))), np.concatenate((self.size, counts))
+        self.store = np.concatenate((self.store, *found))
+
+    def ids(self, rows: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose segments are settled, one text after the other, and the count of each."""
+        place, size = self.place[rows], self.size[rows]
         index = np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.store[index], np.bincount(row, weights=size, minlength=len(text)).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.store[index], np.diff(total[np.concatenate(([0], np.cumsum(segments)))])
+
+    def encode(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the count of each."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts the ids of all, one after the other, and the count of each."""
+        if len(self.known) > MEMORY:
+            self.forget()
+        looked = [self.look(text) for text in texts]
+        self.settle()
+        for rows, segments in looked:
+            yield self.ids(rows, segments)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of id sequences that stand one after the other."""
@@ -386,8 +420,7 @@ def sentencepiece(docs: DataFrame, model: bytes, text_col: str = "text", ids_col
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             ids, offs, decoded = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], []
-            for first, end, _, _ in chunks(column, PART):
-                got, counts = encoder.encode([x or "" for x in column.slice(first, end - first).to_pylist()])
+            for got, counts in encoder.encode_all([x or "" for x in column.slice(first, end - first).to_pylist()] for first, end, _, _ in chunks(column, PART)):
                 ids.append(got)
                 offs.append(np.cumsum(counts) + offs[-1][-1])
                 decoded += encoder.decode(got, counts)
