@@ -9,7 +9,8 @@ A document's set holds its distinct k-word shingles; two documents link when
     Only the prefix, n - ceil(t n) + 1 shingles, is indexed: linked sets share one of these.
 3.  The index is dealt by shingle in packed pieces. Each posting list links its groups
     to the least group that size allows (a star, not all pairs).
-4.  Stars are expanded to nodes and verified on the whole sets; components follow.
+4.  Stars are expanded to nodes; pairs that sizes or bitmaps (step 5) rule out go, the others are
+    verified on the whole sets; components follow.
 5.  Lists whose nodes lie in several components yet are paired across these
     components and verified: first each node's nearest, in random blocks and then in whole
     lists, which joins most components with few pairs, then all pairs that are left, so each
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut, own, row_key, settled, small_side, tidy
+from .common import arrow_rows, components, cut, own, release, row_key, settled, small_side, tidy
 from .kernels import chunks, mix, sequence_hash, shingle_sets
 
 CELLS = 1 << 22
@@ -102,8 +103,30 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
 
 def parity(s: np.ndarray) -> np.ndarray:
     """Bit i: whether the set holds an odd number of shingles of cell i. Differing bits of two sets are at most as many as their symmetric difference."""
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+    return _odd(s, 64 * WORDS).view("<i8")
+
+
+def _odd(s: np.ndarray, cells: int) -> np.ndarray:
+    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells) & 1).astype(np.uint8))
+
+
+def wide_bytes(n: int) -> int:
+    """Bytes of the wide bitmap of an n-set: two to four bits a shingle, for sets that fill the other bitmap."""
+    return 0 if n <= 64 * WORDS else min(1 << (2 * n - 1).bit_length(), 1 << 24) // 8
+
+
+def wide_parity(s: np.ndarray) -> bytes:
+    """`parity` over as many cells as `wide_bytes` says."""
+    size = wide_bytes(len(s))
+    return _odd(s, 8 * size).tobytes() if size else b""
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide bitmaps; the larger is folded, which keeps each cell's parity."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = np.bitwise_xor.reduce(np.frombuffer(y, dtype=np.uint8).reshape(-1, len(x)), axis=0) ^ np.frombuffer(x, dtype=np.uint8)
+    return int(np.bitwise_count(both).sum())
 
 
 def prefix_length(n, percent: int):
@@ -114,31 +137,58 @@ def prefix_length(n, percent: int):
 NO_BITS = np.zeros(WORDS, dtype="<i8")
 BITS = [f"bits{i}" for i in range(WORDS)]
 _POST = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<i4")])
+_RUN = np.dtype([("group", "<i8"), ("n", "<i4"), ("size", "<i4")])  # postings of one group, one after the other
 _NODE = np.dtype([("key", "<i8"), ("id", "<i8"), ("known", "<i4"), ("n", "<i4"), ("node", "<i8"), ("group", "<i8"), ("bits", "<i8", WORDS)])
 
 
+def _post_bytes(rows: np.ndarray) -> bytes:
+    """Packed postings of a bucket: their number, each group's run, and 32 bits of each token. Tokens that these confuse only share a list; sets are compared whole."""
+    first = np.flatnonzero(np.concatenate(([True], (rows["group"][1:] != rows["group"][:-1]) | (rows["n"][1:] != rows["n"][:-1]))))
+    runs = np.empty(len(first), dtype=_RUN)
+    runs["group"], runs["n"], runs["size"] = rows["group"][first], rows["n"][first], np.diff(np.append(first, len(rows)))
+    return np.int64(len(first)).tobytes() + runs.tobytes() + (rows["token"] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _posts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    runs = np.frombuffer(data, _RUN, n, 8)
+    tokens = np.frombuffer(data, "<u4", -1, 8 + n * _RUN.itemsize)
+    rows = np.empty(len(tokens), dtype=_POST)
+    rows["token"], rows["group"], rows["n"] = tokens, np.repeat(runs["group"], runs["size"]), np.repeat(runs["n"], runs["size"])
+    return rows
+
+
+def _node_rows(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Packed node rows and their wide bitmaps."""
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    rows, at, wide = np.frombuffer(data, _NODE, n, 8), 8 + n * _NODE.itemsize, []
+    for size in map(wide_bytes, rows["n"].tolist()):
+        wide.append(data[at : at + size])
+        at += size
+    return rows, wide
+
+
 def _postings(k: int, percent: int, buckets: int, order):
     """Rows (bucket, kind, data): packed postings (kind 0) and packed node rows (kind 1)."""
 
-    def pack(kind, rows, to):
+    def dealt(to):
         order_ = np.argsort(to, kind="stable")
-        rows, to = rows[order_], to[order_]
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        return [(int(t[0]), kind, r.tobytes()) for r, t in zip(np.split(rows, cuts), np.split(to, cuts)) if len(r)]
+        return [(int(to[i[0]]), i) for i in np.split(order_, np.flatnonzero(np.diff(to[order_])) + 1) if len(i)]
 
-    def flush(posts, nodes):
+    def flush(posts, nodes, wide):
         out = []
         if posts:
             rows = np.concatenate(posts)
-            out += pack(0, rows, (mix(rows["token"]) % np.uint64(buckets)).astype(np.int64))
+            out += [(b, 0, _post_bytes(rows[i])) for b, i in dealt((mix(rows["token"]) % np.uint64(buckets)).astype(np.int64))]
         if nodes:
             rows = np.array(nodes, dtype=_NODE)
-            out += pack(1, rows, (mix(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+            for b, i in dealt((mix(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                out.append((b, 1, np.int64(len(i)).tobytes() + rows[i].tobytes() + b"".join([wide[j] for j in i.tolist()])))
         a, b, c = zip(*out) if out else ((), (), ())
         return pa.RecordBatch.from_pydict({"bucket": pa.array(a, pa.int32()), "kind": pa.array(b, pa.int32()), "data": pa.array(c, pa.binary())})
 
     def run(batches):
-        cells, seen, posts, nodes, held = order.value, set(), [], [], 0
+        cells, seen, posts, nodes, wide, held = order.value, set(), [], [], [], 0
         for batch in batches:
             keys, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, _, buf, offs in chunks(batch.column(0)):
@@ -156,10 +206,11 @@ def _postings(k: int, percent: int, buckets: int, order):
                             posts.append(rows)
                             held += p
                     nodes.append((keys[i], ids[i] if known else 0, known, n, node, group, bits))
+                    wide.append(wide_parity(s))
             if held > PIECE:
-                yield flush(posts, nodes)
-                posts, nodes, held = [], [], 0
-        yield flush(posts, nodes)
+                yield flush(posts, nodes, wide)
+                posts, nodes, wide, held = [], [], [], 0
+        yield flush(posts, nodes, wide)
 
     return run
 
@@ -169,9 +220,9 @@ def _lists(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data")
-        posts = [np.frombuffer(data[i].as_py(), dtype=_POST) for i, kind in enumerate(kinds) if kind == 0]
-        nodes = [np.frombuffer(data[i].as_py(), dtype=_NODE) for i, kind in enumerate(kinds) if kind == 1]
-        nodes = np.concatenate(nodes) if nodes else np.zeros(0, dtype=_NODE)
+        posts = [_posts(data[i].as_py()) for i, kind in enumerate(kinds) if kind == 0]
+        pieces = [_node_rows(data[i].as_py()) for i, kind in enumerate(kinds) if kind == 1]
+        nodes = np.concatenate([rows for rows, _ in pieces]) if pieces else np.zeros(0, dtype=_NODE)
         out = [[np.full(len(nodes), 1), nodes["key"], nodes["id"], nodes["n"], nodes["node"], nodes["group"], nodes["known"]]]
         if posts:
             p = np.concatenate(posts)
@@ -205,7 +256,8 @@ def _lists(percent: int):
         columns = {c: pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i, c in enumerate(("kind", "a", "b", "n", "node", "g", "known"))}
         rest = len(columns["kind"]) - len(nodes)
         bits = {f"bits{i}": pa.array(np.concatenate((nodes["bits"][:, i], np.zeros(rest, dtype=np.int64)))) for i in range(WORDS)}
-        return pa.table(columns | bits)
+        wide = [x or None for _, wides in pieces for x in wides] + [None] * rest
+        return pa.table(columns | bits | {"wide": pa.array(wide, pa.binary())})
 
     return run
 
@@ -258,6 +310,38 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     return settled(full.mapInArrow(tidy(_verify(percent)), "a long, b long").distinct())
 
 
+def apart() -> str:
+    """SQL for the differing bits of the sides a_ and b_ of a pair."""
+    return " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
+
+
+def can_link(percent: int) -> str:
+    """SQL that a pair of sides a_ and b_ meets if its sets link: their sizes allow it, and no more bits differ than shingles of linked sets."""
+    most = f"a_n + b_n - 2 * int(({percent} * (a_n + b_n) + {99 + percent}) / {100 + percent})"  # symmetric difference of two sets that link
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart()} <= {most}"
+
+
+def _wide(percent: int):
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(i) for i in range(6))
+            keep = []
+            for i, j, u, v in zip(n.to_pylist(), m.to_pylist(), x.to_pylist(), y.to_pylist()):
+                keep.append(not u or not v or wide_apart(u, v) <= i + j - 2 * ((percent * (i + j) + 99 + percent) // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([z.filter(pa.array(keep, pa.bool_())) for z in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int, bits: bool = True) -> DataFrame:
+    """The node pairs (a, b) that sizes and bitmaps do not rule out: the others are never shipped as sets. Without `bits`, by the wide bitmaps alone."""
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "wide", *(BITS if bits else ()))]), side)
+    if bits:
+        pairs = pairs.where(can_link(percent))
+    return pairs.select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(tidy(_wide(percent)), "a long, b long")
+
+
 def open_members(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """(list, node, n, c, size, bits...) of the lists whose nodes lie in several components."""
     label = named.withColumnRenamed("component", "c")
@@ -283,13 +367,11 @@ def across(members: DataFrame, percent: int, block: int | None = None, nearest:
         sides = {"a": members.withColumn("lo", F.col("mine")).withColumn("hi", F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)))}
         sides["b"] = members.withColumn("hi", F.col("mine")).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))))
     x, y = (df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "c", *BITS)]) for side, df in sides.items())
-    apart = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
-    most = f"a_n + b_n - 2 * int(({percent} * (a_n + b_n) + {99 + percent}) / {100 + percent})"  # symmetric difference of two sets that link
-    can = f"(lo < hi or a_node < b_node) and a_c <> b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {apart} <= {most}"
+    can = f"(lo < hi or a_node < b_node) and a_c <> b_c and {can_link(percent)}"
     found = x.join(y, keys).where(can)
     if not nearest:
         return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    found = found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.expr(apart).alias("d"))
+    found = found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.expr(apart()).alias("d"))
     one = found.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")).unionByName(found.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")))
     return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -384,18 +466,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(8, int(size / 6 * (100 - percent) / 100 / PIECE) + 1)
     order = spark.sparkContext.broadcast(sketch(texts.select("text"), k))
     packed = texts.mapInArrow(tidy(_postings(k, percent, buckets, order)), "bucket int, kind int, data binary")
-    rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long, " + ", ".join(f"{b} long" for b in BITS)))
+    rows = cut(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(percent), "kind long, a long, b long, n long, node long, g long, known long, " + ", ".join(f"{b} long" for b in BITS) + ", wide binary"))
+    del packed
+    release(spark)
 
-    every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g", *BITS)
-    nodes = settled(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id"), *[F.first(b).alias(b) for b in BITS]))
+    every = rows.where("kind = 1").select(F.col("a").alias("key"), F.when(F.col("known") == 1, F.col("b")).alias("id"), "n", "node", "g", *BITS, "wide")
+    nodes = settled(every.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("key").alias("key"), F.min("id").alias("id"), *[F.first(b).alias(b) for b in (*BITS, "wide")]))
     leaders = nodes.groupBy("g").agg(F.min("node").alias("leader"), F.count("*").alias("size"))
     stars = rows.where("kind = 2").select("a", "b").distinct()
     lead = leaders.select("g", "leader")
     inner = nodes.select("g", "node").join(leaders.where("size > 1"), "g")
     first = stars.join(lead.withColumnsRenamed({"g": "a", "leader": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "leader": "y"}), "b").select("x", "y").unionByName(inner.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")))
-    pairs = settled(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = settled(possible(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, percent))
     key = nodes.select("node", "key")
     named = components(verified(pairs, key, texts, k, percent))
+    release(spark)
 
     # lists that still hold several components: pairs across them, not tried before
     wide = inner.select("g").distinct()
@@ -405,7 +490,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = settled(lists.distinct())
     for some, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
-        more = settled(across(members, percent, some, nearest, block).join(pairs, ["a", "b"], "left_anti"))
+        more = settled(possible(across(members, percent, some, nearest, block).join(pairs, ["a", "b"], "left_anti"), nodes, percent, bits=False))
+        release(spark)
         if more.isEmpty():
             continue
         found = verified(more, key, texts, k, percent)
@@ -416,6 +502,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()).withColumnsRenamed({"node": "c", "component": "top"})
         every_node = named.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
         named = settled(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
+        release(spark)
 
     full = nodes.join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     if count_links:
