@@ -7,7 +7,7 @@ kept, and returns what it keeps; all but the last return the columns of document
 import uuid
 
 from lectern.llm import decontamination, line_dedup, ngram_join, piece_transducer, toxicity
-from lectern.llm.common import checkpoint_folder, drop_folder
+from lectern.llm.common import checkpoint_folder, drop_folder, release
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -51,5 +51,6 @@ def run(spark, sf_dir):
         docs = spark.read.parquet(written)
         if last:
             drop_folder(spark, last)
+        release(spark)
         last = written
     return docs

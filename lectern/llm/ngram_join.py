@@ -491,7 +491,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for some, nearest in ((16, True), (None, True), (None, False)):
         members = open_members(lists, nodes, named)
         more = settled(possible(across(members, percent, some, nearest, block).join(pairs, ["a", "b"], "left_anti"), nodes, percent, bits=False))
-        release(spark)
         if more.isEmpty():
             continue
         found = verified(more, key, texts, k, percent)
@@ -502,7 +501,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()).withColumnsRenamed({"node": "c", "component": "top"})
         every_node = named.unionByName(merged.select(F.col("c").alias("node"), F.col("c").alias("component"))).distinct()
         named = settled(every_node.join(merged, every_node["component"] == merged["c"], "left").select("node", F.coalesce("top", "component").alias("component")).distinct())
-        release(spark)
 
     full = nodes.join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     if count_links:
